@@ -27,7 +27,7 @@ from weftline.llm.common import small_batches
 #: The pre-token pattern of byte-level BPE (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's caches; they only save time, and are emptied when full.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
 _NEVER = 1 << 60
 
 
@@ -88,14 +88,15 @@ class Encoder:
             a = parts.get(t)
             ok[t] = len(raw[t]) == 1 if a is None else ok[a[0]] and ok[a[1]] and self._apart(a[0], a[1], a[2])
         self._build({b: t for t, b in raw.items() if ok[t]})
-        self.compatible = Cache(lambda ab: self._apart(ab >> 32, ab & 0xFFFFFFFF, -1), 4 * CACHE_ENTRIES)
+        #: For each token, whether tokens seen behind it are compatible.
+        self._behind: list[dict[int, bool]] = [{} for _ in self.bytes_of]
         self._id4 = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
         self._pre = regex.compile(PATTERN)
         self._cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         #: A space that continues a run of white space: there, pieces between spaces can't be taken one by one.
         self._run = regex.compile(r"\s (?:\s|$)")
-        self._pieces = Cache(lambda p: self._ids(" " + p))
-        self._tokens = Cache(self.encode_pretoken)
+        #: Ids of pieces: pre-tokens, and runs of them from one space to the next.
+        self._pieces = Cache(self._learn)
 
     def _build(self, words: dict[bytes, int]) -> None:
         """The automaton: from state and byte to the state of the longest suffix read that starts a word, and for each state the words that end there, longest first."""
@@ -124,7 +125,7 @@ class Encoder:
                 link[to] = step(link[state] << 8 | byte) if state else 0
                 order.append(to)
             self._ends[state] = (*([own[state]] if own[state] else []), *self._ends[link[state]])
-        self._step = Cache(step, 256 * len(edges))
+        self._edges, self._step = edges, Cache(step, 256 * len(edges))
 
     @staticmethod
     def _edge(parts: dict, token: int, side: int) -> list[tuple[int, int]]:
@@ -149,14 +150,20 @@ class Encoder:
         """Little-endian 32-bit ids of one pre-token."""
         data, state = token.encode(), 0
         last, size = [-1] * (len(data) + 1), [0] * (len(data) + 1)
-        step, ends, compatible = self._step, self._ends, self.compatible
+        edges, ends, behind = self._edges, self._ends, self._behind
         for end, byte in enumerate(data, 1):
-            state = step[state << 8 | byte]
+            to = edges[state].get(byte)
+            state = self._step[state << 8 | byte] if to is None else to
             for length, t in ends[state]:
-                start = end - length
-                if not start or compatible[last[start] << 32 | t]:
-                    last[end], size[end] = t, length
+                if length == end:
                     break
+                known = behind[last[end - length]]
+                fits = known.get(t)
+                if fits is None:
+                    fits = known[t] = self._apart(last[end - length], t, -1)
+                if fits:
+                    break
+            last[end], size[end] = t, length
         ids, end = [], len(data)
         while end:
             ids.append(self._id4[last[end]])
@@ -164,8 +171,21 @@ class Encoder:
         ids.reverse()
         return b"".join(ids)
 
+    def _learn(self, piece: str) -> bytes:
+        """Ids of a piece that is not in the cache."""
+        if piece.isascii():
+            bare = piece[1:] if piece[0] == " " else piece
+            if bare.isalpha():
+                return self.encode_pretoken(piece)
+            if bare[:-1].isalpha() and bare[-1] in ".,":  # a stop or comma is a pre-token of its own
+                return self._pieces[piece[:-1]] + self._pieces[piece[-1]]
+        if self._cut is not None and self._cut.search(piece):
+            return self._ids(piece)
+        tokens = self._pre.findall(piece)
+        return self.encode_pretoken(piece) if len(tokens) == 1 else b"".join(map(self._pieces.__getitem__, tokens))
+
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self._tokens.__getitem__, self._pre.findall(text)))
+        return b"".join(map(self._pieces.__getitem__, self._pre.findall(text)))
 
     def _ids(self, text: str) -> bytes:
         if self._cut is None or "<" not in text and not any(s in text for s in self.special):
@@ -180,14 +200,19 @@ class Encoder:
         """Little-endian 32-bit ids of a whole text."""
         if not text:
             return b""
-        if self._run.search(text) or any(" " in s and s in text for s in self.special):
+        if "\0" in text or self._run.search(text) or any(" " in s and s in text for s in self.special):
             return self._ids(text)
-        first, *rest = text.split(" ")
-        return b"".join([self._ids(first), *map(self._pieces.__getitem__, rest)])
+        pieces = text.replace(" ", "\0 ").split("\0")
+        return b"".join(map(self._pieces.__getitem__, pieces if pieces[0] else pieces[1:]))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_lists(self, lists: pa.ListArray) -> list[str | None]:
+        """The texts of an Arrow array of id lists."""
+        ids, ends = lists.values.to_numpy(), lists.offsets.to_pylist()
+        return [self.decode(ids[a:b].tolist()) if own else None for a, b, own in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -224,7 +249,7 @@ def decode_column(ids: Column, tokenizer: str) -> Column:
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(tokenizer)
         for batch in batches:
-            yield pa.array([None if x is None else enc.decode(x) for x in batch.to_pylist()], pa.string())
+            yield pa.array(enc.decode_lists(batch), pa.string())
 
     return texts.asNondeterministic()(ids)
 
