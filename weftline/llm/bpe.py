@@ -27,7 +27,7 @@ from weftline.llm.common import small_batches
 #: The pre-token pattern of byte-level BPE (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's caches; they only save time, and are emptied when full.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
 _NEVER = 1 << 60
 
 
@@ -254,6 +254,19 @@ def decode_column(ids: Column, tokenizer: str) -> Column:
     return texts.asNondeterministic()(ids)
 
 
+def round_trip_column(text: Column, tokenizer: str) -> Column:
+    """struct<ids, decoded> of whole texts in one pass of one worker: the ids, and the text decoded from them."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoder(tokenizer)
+        for batch in batches:
+            ids = id_lists([enc.encode(t) for t in batch.to_pylist()])
+            yield pa.StructArray.from_arrays([ids, pa.array(enc.decode_lists(ids), pa.string())], ["ids", "decoded"])
+
+    return both.asNondeterministic()(text)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, ids array<int>, decoded string.
 
@@ -261,8 +274,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """
     small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    rows = rows.select("doc_id", encode_column(F.col("text"), tokenizer).alias("ids"))
-    return rows.select("doc_id", "ids", decode_column(F.col("ids"), tokenizer).alias("decoded"))
+    return rows.select("doc_id", round_trip_column(F.col("text"), tokenizer).alias("r")).select("doc_id", "r.ids", "r.decoded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -259,18 +259,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS) -> DataFrame:
     """One document of each component, with all its columns: that with the smallest id (null last), then the least text hash; of rows that share both, any one."""
     small_batches(docs.sparkSession)
-    fp, tie, won, root = (free_name(docs, c) for c in ("fp", "tie", "won", "root"))
+    fp, tie, row = (free_name(docs, c) for c in ("fp", "tie", "row"))
     marked = docs.withColumn(fp, fingerprint_column(docs[text_col])).withColumn(tie, F.xxhash64(docs[text_col]))
-    rows = written(marked, "fingerprinted")
-    order = F.struct(rows[id_col].isNull().alias("n"), rows[id_col].alias("i"), rows[tie].alias("t"))
-    by_fp = rows.groupBy(rows[fp].alias("fp")).agg(F.min(order).alias("won"), F.count("*").alias("n"))
-    by_fp = written(by_fp, "distinct_fingerprints")
+    # the table as written fixes the row numbers, so which rows go is decided on narrow rows
+    rows = written(marked.withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
+    narrow = rows.select(rows[fp].alias("fp"), rows[row].alias("row"), F.struct(rows[id_col].isNull(), rows[id_col], rows[tie], rows[row]).alias("place"))
+    by_fp = written(narrow.groupBy("fp").agg(F.min(F.struct("place", "row")).alias("first"), F.count("*").alias("n")), "distinct_fingerprints")
     roots = connected_components(near_links(by_fp.select("fp"), errors))
-    classes = by_fp.join(roots, by_fp["fp"] == roots["node"], "left").select("fp", "won", "n", F.coalesce("root", "fp").alias("root"))
-    winners = classes.groupBy("root").agg(F.min("won").alias("won"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    groups = written(classes.select("fp", "root").join(winners, "root"), "groups").select(F.col("fp").alias(f"{fp}_"), F.col("won").alias(won), F.col("root").alias(root))
-    joined = rows.join(groups, rows[fp] == groups[f"{fp}_"], "left")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    alone = joined.where(F.col(won).isNull()).select(names)
-    first = joined.where(F.col(won) == order).dropDuplicates([root]).select(names)
-    return alone.unionAll(first)
+    classes = by_fp.join(roots, by_fp["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    winners = classes.groupBy("root").agg(F.min("first")["row"].alias("won"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    groups = written(classes.select("fp", "root").join(winners, "root").select("fp", "won"), "groups")
+    dropped = written(narrow.select("fp", "row").join(groups, "fp").where("row <> won").select(F.col("row").alias(row)), "dropped_rows")
+    return rows.join(dropped, row, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
