@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch: texts may be long, so the default of 10,000 could fill a worker.
 BATCH_ROWS = 256
+#: Rows of a batch that a Parquet scan decodes at once on the heap, for the same reason (the default is 4,096).
+SCAN_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,10 +45,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small; a smaller setting of the user's stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    """Keep Arrow and scan batches of whole texts small; a smaller setting of the user's stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)):
+        if not 0 < int(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
 
 
 def free_name(df: DataFrame, base: str) -> str:

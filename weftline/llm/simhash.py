@@ -29,7 +29,7 @@ from weftline.llm.common import checkpointed, free_name, partitions, small_batch
 
 SHINGLE, SEED, BITS, ERRORS = 4, 42, 64, 4
 #: Fingerprints of one group beyond which it is dealt out again; pairs compared at once below a node pair; node pairs held at once.
-GROUP_ROWS, LEAF_PAIRS, FRONTIER = 50_000, 64, 1_000_000
+GROUP_ROWS, LEAF_PAIRS, FRONTIER = 50_000, 64, 125_000
 
 
 def fingerprint(text: str | None) -> bytes:
