@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import expressions as ex
 from weftline.functions.vocab import COMPLEMENTS
 from weftline.operators import catalog as cat
-from weftline.operators import corpus, graph, metrics
+from weftline.operators import corpus, graph, metrics, outfits
 from weftline.sources.tables import catalog, dialogues, links, table
 
 _CATEGORIES = "['top','bottom','dress','outerwear','shoes','bag','accessory']"
@@ -227,3 +227,45 @@ def backend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("p", "x"))
     return each.groupBy("label", (F.col("p") + 1).cast("bigint").alias("dim")).agg(F.bround(F.avg(F.col("x").cast("double")), 4).alias("mean"))
+
+
+def _grow(step: int, category: str) -> str:
+    return f"""g{step} as materialized (select g.seed, g.base_place, list_concat(g.items, case when b.cand is null then [] else [b.cand] end) as items, g.total + coalesce(b.gain, 0) as total, g.added + (b.cand is not null)::int as added
+  from g{step - 1} g left join (select seed, base_place, arg_min(cand, place) as cand, arg_min(gain, place) as gain from (
+    select g.seed, g.base_place, r.partner_id as cand, r.place, count(*) as met, sum(l.micro)::bigint as gain, any_value(len(g.items)) as n
+    from (select *, unnest(items) as member from g{step - 1} where added < 3) g join ranked r on r.item_id = g.seed and r.pc = '{category}' join ranked l on l.item_id = g.member and l.partner_id = r.partner_id
+    group by 1, 2, 3, 4) where met = n group by 1, 2) b on b.seed = g.seed and b.base_place = g.base_place)"""
+
+
+_OUTFITS = f"""both_ways as (select src_id as item_id, dst_id as partner_id, dst_category as pc, weight from edges union all select dst_id, src_id, src_category, weight from edges),
+ranked as materialized (select *, round_even(weight * 1000000, 0)::bigint as micro, row_number() over (partition by item_id, pc order by weight desc, partner_id) as place from both_ways),
+g0 as (select i.item_id as seed, r.place as base_place, [i.item_id, r.partner_id] as items, r.micro as total, 0 as added from items i join ranked r using (item_id) where i.category = 'top' and r.pc = 'bottom' and r.place <= 3
+  union all select item_id, 1, [item_id], 0, 0 from items where category = 'dress'),
+{", ".join(_grow(k, c) for k, c in enumerate(outfits.OPTIONAL, 1))},
+scored as (select seed, base_place, items, case when len(items) < 2 then 0.0 else round_even(total / (len(items) * (len(items) - 1) / 2) / 1000000, 6) end as score from g4),
+outfits as (select * from scored qualify row_number() over (partition by list_sort(items) order by score desc, seed, base_place) = 1),
+records as (select 'OF_' || substr(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(array_to_string(list_sort(o.items), '|'))), 1, 8) as outfit_id, o.seed, array_to_string(o.items, ',') as item_ids, o.score,
+  sum(i.price)::bigint as price_total, array_to_string(list_sort(list(distinct i.color)), ',') as colors from (select *, unnest(items) as m from outfits) o join items i on i.item_id = o.m group by o.items, o.seed, o.score)"""
+_TIER = "case when price_total < 300000 then 'budget' when price_total <= 800000 then 'mid' else 'premium' end"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = catalog(spark, sf_dir)
+    return outfits.records(outfits.assemble(items, graph.build_edges(items)), items)
+
+
+@query(f"with {CATALOG}, {EDGES}, {_OUTFITS} select *, {_TIER} as tier from records")
+def outfit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outfits grown from every top and dress, with their derived fields."""
+    found = _records(spark, sf_dir)
+    return found.select("outfit_id", "seed", F.array_join("items", ",").alias("item_ids"), "score", "price_total", F.array_join("colors", ",").alias("colors"), "tier")
+
+
+@query(f"""with {CATALOG}, {EDGES}, {_OUTFITS} select outfit_id, item_ids, score, price_total,
+  round_even(score + case when colors like '%blue%' then 0.05 else 0.0 end - case when {_TIER} <> 'mid' then 0.1 else 0.0 end, 6) as preference
+from records where price_total <= 5000000 order by score desc, string_split(item_ids, ',') desc limit 40""")
+def outfit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 outfits within a price, with their score for a preference."""
+    best = outfits.search(_records(spark, sf_dir), 5_000_000, (), 40)
+    liked = outfits.preference_score(F.col("score"), F.col("tier"), F.col("colors"), "mid", ("blue",))
+    return best.select("outfit_id", F.array_join("items", ",").alias("item_ids"), "score", "price_total", F.bround(liked, 6).alias("preference"))
