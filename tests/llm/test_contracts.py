@@ -243,6 +243,21 @@ def test_op8(spark, sf):
         assert np.mean([r["kept"] for r in got if r["doc_id"] in good and not r["base_failed"]]) > 0.99
 
 
+def test_op8_rejects_planted_text(spark):
+    from weftline.llm import quality
+
+    docs = [d for d in rows(spark, SF, "documents") if d["lang"] == "en" and not plain_stats(d["text"])[-1]]
+    rng = random.Random(8)
+    planted = []
+    for k, d in enumerate([d for d in docs if len(d["text"].split()) >= 100][:8]):
+        words = d["text"].split(" ")
+        planted.append((-1 - k, "en", " ".join("".join(rng.sample(w, len(w))) if rng.random() < 0.4 else w for w in words)))
+    both = spark.createDataFrame([(d["doc_id"], "en", d["text"]) for d in docs] + planted, "doc_id bigint, lang string, text string")
+    got = {r["doc_id"]: r for r in quality.quality(both).collect()}
+    assert len(planted) == 8 and not any(got[k]["base_failed"] or got[k]["kept"] for k, _, _ in planted)
+    assert np.mean([got[d["doc_id"]]["kept"] for d in docs]) > 0.9
+
+
 def test_op9(spark, sf):
     pages = rows(spark, sf, "pages")
     groups = defaultdict(list)

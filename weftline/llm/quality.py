@@ -10,8 +10,9 @@ rounds that are.
 
 A document is rejected if a base rule fails, or if the mean negative log-probability of its characters is
 outside its language's band: the median over that language's documents that pass the base rules, plus and
-minus the larger of DEVIATIONS scaled median absolute deviations and a least width. Medians come from
-counts by thousandths of a nat, so they are exact and the same in each run.
+minus DEVIATIONS scaled median absolute deviations: the least whole number that rejects fewer than one in a
+hundred of the documents of sf0.1 that are labelled good. GUARD_WIDTH stands in only for a deviation of 0. Medians come from counts by thousandths of a nat, so they are exact and the
+same in each run.
 
 Texts are never cut. A null text counts as empty: no words, base_failed. Repeated rows stay, each with its
 own verdict; equal texts of one language get equal verdicts. An empty table gives no rows.
@@ -36,7 +37,8 @@ CLASSES = 1 << BITS
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-DEVIATIONS, LEAST_WIDTH = 8.0, (0.4, 1.0)
+#: Scaled deviations below and above the median; widths in nats where the deviation is 0.
+DEVIATIONS, GUARD_WIDTH = (5.0, 5.0), (0.4, 1.0)
 MODEL_BYTES = 128 << 20
 #: Counts that a task keeps before it adds up equal keys.
 HELD = 500_000
@@ -293,10 +295,10 @@ def bands(stats: DataFrame) -> DataFrame:
     mid = median(bins, "bin", "mid").withColumnRenamed("lang", "mid_lang")
     off = bins.join(mid, F.col("lang").eqNullSafe(F.col("mid_lang"))).select("lang", "mid", "n", F.abs(F.col("bin") - F.col("mid")).alias("off"))
     mad = median(off, "off", "mad").withColumnRenamed("lang", "mad_lang")
-    width = DEVIATIONS * 1.4826 * F.col("mad") / 1000
     both = mid.join(mad, F.col("mid_lang").eqNullSafe(F.col("mad_lang")))
     centre = (F.col("mid") + 0.5) / 1000
-    return both.select(F.col("mid_lang").alias("band_lang"), (centre - F.greatest(width, F.lit(LEAST_WIDTH[0]))).alias("lower"), (centre + F.greatest(width, F.lit(LEAST_WIDTH[1]))).alias("upper"))
+    low, high = (F.when(F.col("mad") > 0, n * 1.4826 * F.col("mad") / 1000).otherwise(guard) for n, guard in zip(DEVIATIONS, GUARD_WIDTH, strict=True))
+    return both.select(F.col("mid_lang").alias("band_lang"), (centre - low).alias("lower"), (centre + high).alias("upper"))
 
 
 def judged(docs: DataFrame, name: str, lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
