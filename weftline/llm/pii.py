@@ -10,8 +10,10 @@ tried again from inside:
   card   [0-9]([\\x20-]?[0-9])+, 16 to 19 digits that pass the Luhn test
   phone  \\+[0-9][\\x20().0-9-]+[0-9], 8 to 15 digits
 Added kinds:
-  account  two letters, two check digits and 11 to 30 further letters or digits whose remainder modulo 97 is 1
-  secret   the value behind a cue (password=, token = "...", api_key: ...), at least 8 characters with a
+  account  two letters, two check digits and 11 to 30 further letters or digits whose remainder modulo 97 is 1;
+           as long as its country's accounts are, or for an unlisted country up to the last blank or other end
+           that passes the test
+  secret   the value behind a cue in any case (password=, token = "...", API_Key: ...), at least 8 characters with a
            digit, or an access key id (AKIA and 16 capitals or digits)
   url_user the user part of scheme://user:password@host
 
@@ -37,28 +39,34 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 CUES = ("password", "passwd", "token", "api_key", "apikey", "secret", "access_key")
 KEY_IDS = ("AKIA", "ASIA")
+#: Characters of an account number by country (ISO 13616).
+ACCOUNT_LENGTHS = {
+    country: length
+    for length, countries in {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items()
+    for country in countries.split()
+}
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+((?:\.[0-9]+){3})?")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+")
-_VALUE = re.compile(r"""["']?\s{0,2}[=:]\s{0,2}["']?([A-Za-z0-9_+/.=-]{8,})""")
+_VALUE = re.compile(r"""["']?\s*[=:]\s*["']?([A-Za-z0-9_+/.=-]{8,})""")
 _KEY_ID = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _USER = re.compile(r"[^\s/@:]+:[^\s/@]+(?=@)")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 
 _automaton = None
 
 
 def anchors():
-    """The automaton of all anchors, once for each worker."""
+    """The automaton of all anchors in lower case, once for each worker."""
     global _automaton
     if _automaton is None:
         import ahocorasick
 
         _automaton = ahocorasick.Automaton()
-        for word, kind in [("@", "@"), ("+", "+"), *((d, "0") for d in "0123456789"), *((s, "://") for s in SCHEMES), *((c, "cue") for k in CUES for c in {k, k.upper(), k.capitalize()}), *((k, "key") for k in KEY_IDS)]:
+        for word, kind in [("@", "@"), ("+", "+"), *((d, "0") for d in "0123456789"), *((s, "://") for s in SCHEMES), *((c, "cue") for c in CUES), *((k.lower(), "key") for k in KEY_IDS)]:
             _automaton.add_word(word, (kind, len(word)))
         _automaton.make_automaton()
     return _automaton
@@ -79,6 +87,30 @@ def _iban(value: str) -> bool:
     return len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def _account_end(text: str, at: int) -> int:
+    """Where the account number that starts here ends, or 0."""
+    m = _IBAN.match(text, at)
+    if not m:
+        return 0
+    size = sum(c != " " for c in m[0])
+    only = ACCOUNT_LENGTHS.get(text[at : at + 2])
+    for end in range(m.end(), at, -1):
+        if text[end - 1] == " ":
+            continue
+        if size < 15:
+            break
+        if (only is None or size == only) and not (text[end : end + 1].isascii() and text[end : end + 1].isalnum()) and _iban(text[at:end]):
+            return end
+        size -= 1
+    return 0
+
+
+def _lower(text: str) -> str:
+    """text in lower case, each character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end), by kind as listed, then start."""
     if not text:
@@ -87,7 +119,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     # where each base kind may match next; where the run of digits last seen by a kind ends
     email_at = ip_at = card_at = phone_at = account_at = 0
     n = len(text)
-    for end, (kind, length) in anchors().iter(text):
+    for end, (kind, length) in anchors().iter(_lower(text)):
         at = end - length + 1
         if kind == "0":
             if at >= ip_at:
@@ -103,9 +135,8 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                     if 16 <= len(digits) <= 19 and luhn(digits):
                         found.append(("card", at, card_at))
             if at >= account_at and at >= 2 and text[at - 1].isupper() and text[at - 2].isupper() and (at < 3 or not text[at - 3].isalnum()):
-                m = _IBAN.match(text, at - 2)
-                if m and _iban(m[0]):
-                    account_at = m.end()
+                if stop := _account_end(text, at - 2):
+                    account_at = stop
                     found.append(("account", at - 2, account_at))
         elif kind == "@":
             start = at
