@@ -258,6 +258,44 @@ def test_op8_rejects_planted_text(spark):
     assert np.mean([got[d["doc_id"]]["kept"] for d in docs]) > 0.9
 
 
+def plain_kneser_ney(texts, order):
+    """Mean negative log-probability of each text, by counting in dictionaries."""
+    grams = lambda t: [(" " * (order - 1) + t)[i : i + order] for i in range(len(t))]
+    tables = {order: Counter(g for t in texts for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    p = {"": 1 / 0x110000}
+    for k in range(1, order + 1):
+        n = Counter(tables[k].values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = {j: min(max(j - (j + 1) * y * n[j + 1] / n[j], 0.05), j) if min(n[1], n[2], n[3], n[4]) else j / 2 for j in (1, 2, 3)}
+        total, left = Counter(), Counter()
+        for g, c in tables[k].items():
+            total[g[:-1]] += c
+            left[g[:-1]] += d[min(c, 3)]
+        p = {g: (c - d[min(c, 3)] + left[g[:-1]] * p[g[1:] if k > 1 else ""]) / total[g[:-1]] for g, c in tables[k].items()}
+    return [-np.mean([math.log(p[g]) for g in grams(t)]) for t in texts]
+
+
+def test_op8_model_grows_over_whole_code_points(spark, monkeypatch):
+    from weftline.llm import quality
+
+    rng = random.Random(9)
+    vocabulary = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(2)) for _ in range(400)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(200)] + ["A " * 30, "\U00010041 " * 30]
+    scrambled = ["".join(rng.sample(t, len(t))) for t in texts[:5]]
+    scrambled = [" ".join(t.replace(" ", "")[i : i + 2] for i in range(0, 120, 2)) for t in scrambled]
+    docs = spark.createDataFrame([(k, t, "zh") for k, t in enumerate(texts + scrambled)] + [(999, "other words", None)], "id bigint, text string, lang string")
+    monkeypatch.setattr(quality, "RANGE_KEYS", 1000)
+    want = plain_kneser_ney(texts + scrambled, quality.ORDER)
+    assert quality.train(docs).agg(F.sum("n")).first()[0] > 10_000
+    for limit in (quality.MODEL_BYTES, 30_000):
+        got = {r["id"]: r["q"]["nll"] for r in quality.scored(docs, "q", limit=limit).collect()}
+        assert max(abs(got[k] - x) for k, x in enumerate(want)) < 1e-5
+    verdict = {r["id"]: r["q"]["kept"] for r in quality.judged(docs, "q", keep=["id"]).collect()}
+    assert not any(verdict[len(texts) + k] for k in range(5)) and np.mean([verdict[k] for k in range(200)]) > 0.9
+
+
 def test_op9(spark, sf):
     pages = rows(spark, sf, "pages")
     groups = defaultdict(list)

@@ -1,17 +1,19 @@
 """Quality rules: counts of each text and the perplexity of a modified Kneser-Ney n-gram model of its language.
 
-The model counts character 4-grams over 64 classes (26 letters without case, digits, white space,
-punctuation, and classes that share all other characters), over every document, one model per language; null
-languages have one of their own. Spark adds up the counts; each language's are turned into discounted,
-interpolated probabilities and back-off weights, kept in sorted arrays of n-gram keys that are searched by
-bisection. There are at most 64^4 keys for a language, whatever the input, so a language's model is bounded;
-models are sent out together while they are within MODEL_BYTES, else the languages are scored in several
-rounds that are.
+The model counts n-grams of ORDER whole code points over every document, one model per language; null
+languages have one of their own. Counts, the counts of different characters before each shorter n-gram,
+discounts and interpolated probabilities are tables that Spark joins and groups by n-gram, so the model
+grows with the input and no task holds a language. As every text that is scored was counted too, each of
+its n-grams is in the longest table, which alone is kept: 64-bit hashes of language and n-gram with costs
+(negative log-probabilities in whole millionths of a nat), packed by ranges of the hash into sorted arrays.
+Ranges are sent out together while they are within MODEL_BYTES, else the documents are scored in several
+rounds; costs are whole numbers, so their sums don't depend on the rounds.
 
 A document is rejected if a base rule fails, or if the mean negative log-probability of its characters is
 outside its language's band: the median over that language's documents that pass the base rules, plus and
-minus DEVIATIONS scaled median absolute deviations: the least whole number that rejects fewer than one in a
-hundred of the documents of sf0.1 that are labelled good. GUARD_WIDTH stands in only for a deviation of 0. Medians come from counts by thousandths of a nat, so they are exact and the
+minus DEVIATIONS scaled median absolute deviations: the whole numbers that reject most documents of sf0.1
+labelled bad while they reject fewer than one in a hundred of those labelled good. GUARD_WIDTH stands in
+only for a deviation of 0. Medians come from counts by thousandths of a nat, so they are exact and the
 same in each run.
 
 Texts are never cut. A null text counts as empty: no words, base_failed. Repeated rows stay, each with its
@@ -20,11 +22,9 @@ own verdict; equal texts of one language get equal verdicts. An empty table give
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -32,164 +32,192 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import free_name, small_batches, written
 
-ORDER, BITS = 4, 6
-CLASSES = 1 << BITS
+#: Code points of an n-gram, 4 to 6; the last three are packed into one number, those before into another.
+ORDER, BITS, LOW = 4, 21, 3
+MASK = (1 << BITS) - 1
+CODE_POINTS = 0x110000
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Scaled deviations below and above the median; widths in nats where the deviation is 0.
-DEVIATIONS, GUARD_WIDTH = (5.0, 5.0), (0.4, 1.0)
-MODEL_BYTES = 128 << 20
-#: Counts that a task keeps before it adds up equal keys.
-HELD = 500_000
-STATS = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,nll:double>"
-_PUNCTUATION = ".,'\"-():;!?|/"
-_TABLE = None
-
-
-def _classes() -> np.ndarray:
-    """Class of each code point below 0x10000."""
-    global _TABLE
-    if _TABLE is None:
-        first_other = 28 + len(_PUNCTUATION)
-        cp = np.arange(0x10000, dtype=np.uint32)
-        table = (first_other + (cp * np.uint32(2654435761) >> np.uint32(16)) % (CLASSES - first_other)).astype(np.uint32)
-        for c in " \t\n\v\f\r\xa0":
-            table[ord(c)] = 0
-        for k in range(26):
-            table[ord("a") + k] = table[ord("A") + k] = 1 + k
-        for c in "0123456789":
-            table[ord(c)] = 27
-        for k, c in enumerate(_PUNCTUATION):
-            table[ord(c)] = 28 + k
-        _TABLE = table
-    return _TABLE
-
-
-def ngram_keys(text: str) -> np.ndarray:
-    """The keys of a text's n-grams, one for each character; three blanks stand before the text."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.concatenate([np.zeros(ORDER - 1, np.uint32), _classes()[cp & 0xFFFF]])
-    n = len(cp)
-    key = c[:n].copy()
-    for k in range(1, ORDER):
-        key <<= np.uint32(BITS)
-        key |= c[k : k + n]
-    return key
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(k) else c
+DEVIATIONS, GUARD_WIDTH = (7.0, 4.0), (0.4, 1.0)
+MODEL_BYTES, KEY_BYTES, RANGE_KEYS = 64 << 20, 12, 250_000
+#: N-grams that a task takes at once; different ones that it keeps before it gives them back.
+PIECE, HELD = 500_000, 500_000
+STATS = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,cost:bigint>"
+
+
+def ngrams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams that end at each character, as (code points before the last three, last three), in pieces; blanks stand before the text."""
+    cp = np.frombuffer((" " * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def packed(c: np.ndarray, start: int, width: int, n: int) -> np.ndarray:
+        out = c[start : start + n].astype(np.int64)
+        for k in range(start + 1, start + width):
+            out <<= BITS
+            out |= c[k : k + n]
+        return out
+
+    for at in range(0, len(cp) - ORDER + 1, PIECE):
+        c = cp[at : at + PIECE + ORDER - 1]
+        n = len(c) - ORDER + 1
+        yield packed(c, 0, ORDER - LOW, n), packed(c, ORDER - LOW, LOW, n)
+
+
+def ngram_keys(hi: np.ndarray, lo: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """64-bit hashes of n-grams of the language with this seed."""
+    h = hi.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h += seed
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= lo.view(np.uint64)
+    for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(by)
+        h *= np.uint64(times)
+    return h ^ (h >> np.uint64(31))
+
+
+def seed(lang: str) -> np.uint64:
+    from xxhash import xxh64_intdigest
+
+    return np.uint64(xxh64_intdigest(lang.encode()))
+
+
+def lang_key(lang: Column) -> Column:
+    """A language's name in the model: never null, and different for null and empty."""
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(""))
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(lang, key, n) over rows (lang, text)."""
+    """(lang, hi, lo, n) over rows (lang, text), lang as lang_key gives it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, tuple[list, list]] = {}
+        names: list[str] = []
+        codes: dict[str, int] = {}
+        seeds: list[np.uint64] = []
+        pending: list[list[np.ndarray]] = []
+        taken = 0
+        held: list[list[np.ndarray]] = []  # columns: hash, hi, lo, code of the language, n
+
+        def fold() -> None:
+            hi, lo, code = (np.concatenate(x) for x in zip(*pending, strict=True))
+            pending.clear()
+            found = pa.array(ngram_keys(hi, lo, np.array(seeds)[code])).dictionary_encode()
+            which, m = found.indices.to_numpy(), len(found.dictionary)
+            at = np.empty(m, np.int64)
+            at[which] = np.arange(len(which))
+            held.append([found.dictionary.to_numpy(), hi[at], lo[at], code[at], np.bincount(which, minlength=m)])
+
+        def add_up() -> None:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            order = np.argsort(cols[0], kind="stable")
+            cols = [c[order] for c in cols]
+            first = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+            held[:] = [[*(c[first] for c in cols[:4]), np.add.reduceat(cols[4], first)]]
+
+        def given() -> Iterator[pa.RecordBatch]:
+            _, hi, lo, code, n = held.pop()
+            for at in range(0, len(n), 100_000):
+                to = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(code[to])), pa.array(hi[to]), pa.array(lo[to]), pa.array(n[to].astype(np.int64))], ["lang", "hi", "lo", "n"])
+
         for batch in batches:
-            by: dict[str | None, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text:
-                    by.setdefault(lang, []).append(ngram_keys(text))
-            for lang, keys in by.items():
-                k, n = np.unique(np.concatenate(keys), return_counts=True)
-                own = held.setdefault(lang, ([], []))
-                own[0].append(k)
-                own[1].append(n)
-                if sum(map(len, own[0])) > HELD:
-                    k, n = _summed(*own)
-                    held[lang] = ([k], [n])
-        for lang, own in held.items():
-            k, n = _summed(*own)
-            for at in range(0, len(k), 100_000):
-                part = k[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part.astype(np.int32)), pa.array(n[at : at + 100_000].astype(np.int64))], ["lang", "key", "n"])
+                if not text:
+                    continue
+                if lang not in codes:
+                    codes[lang] = len(names)
+                    names.append(lang)
+                    seeds.append(seed(lang))
+                for hi, lo in ngrams(text):
+                    pending.append([hi, lo, np.full(len(hi), codes[lang], np.int32)])
+                    taken += len(hi)
+                    if taken >= PIECE:
+                        taken = 0
+                        fold()
+                        if sum(len(x[0]) for x in held) > HELD:
+                            add_up()
+                            if len(held[0][0]) > HELD // 2:
+                                yield from given()
+        if pending:
+            fold()
+        if held:
+            add_up()
+            yield from given()
 
     small_batches(docs.sparkSession)
-    return docs.select("lang", "text").mapInArrow(count, "lang string, key int, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 0, 1, 2 and 3 or more."""
-    n = [float((counts == k).sum()) for k in range(5)]
-    if min(n[1:]) == 0:
-        return np.array([0.0, 0.5, 1.0, 1.5])
-    y = n[1] / (n[1] + 2 * n[2])
-    return np.array([0.0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k) for k in (1, 2, 3))])
-
-
-class KneserNey:
-    """For each order: sorted n-gram keys with log-probabilities, and sorted context keys with log back-off weights."""
-
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.a = arrays
-
-    @classmethod
-    def fit(cls, keys: np.ndarray, counts: np.ndarray) -> KneserNey:
-        tables = {ORDER: (keys, counts)}
-        for k in range(ORDER - 1, 0, -1):  # lower orders count the different characters before an n-gram
-            tables[k] = np.unique(tables[k + 1][0] & ((1 << BITS * k) - 1), return_counts=True)
-        out: dict[str, np.ndarray] = {}
-        lower_keys, lower_p = np.arange(CLASSES), np.full(CLASSES, 1.0 / CLASSES)
-        for k in range(1, ORDER + 1):
-            key, n = tables[k]
-            d = _discounts(n)[np.minimum(n, 3)]
-            context = key >> BITS
-            first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-            size = np.diff(np.r_[first, len(key)])
-            total = np.add.reduceat(n, first).astype(float)
-            gamma = np.add.reduceat(d, first) / total
-            shorter = key & ((1 << BITS * max(k - 1, 1)) - 1)
-            p = (n - d) / np.repeat(total, size) + np.repeat(gamma, size) * lower_p[np.searchsorted(lower_keys, shorter)]
-            out |= {f"k{k}": key.astype(np.uint32), f"p{k}": np.log(p).astype(np.float32), f"c{k}": context[first].astype(np.uint32), f"g{k}": np.log(gamma).astype(np.float32)}
-            lower_keys, lower_p = key, p
-        return cls(out)
-
-    def log_p(self, keys: np.ndarray) -> np.ndarray:
-        """Log-probability of each n-gram's last character after its others."""
-        out = np.zeros(len(keys), np.float64)
-        left, keys = np.arange(len(keys)), keys
-        for k in range(ORDER, 0, -1):
-            at = np.minimum(np.searchsorted(self.a[f"k{k}"], keys), len(self.a[f"k{k}"]) - 1)
-            hit = self.a[f"k{k}"][at] == keys
-            out[left[hit]] += self.a[f"p{k}"][at[hit]]
-            left, keys = left[~hit], keys[~hit]
-            if not len(left):
-                return out
-            context = keys >> np.uint32(BITS)
-            at = np.minimum(np.searchsorted(self.a[f"c{k}"], context), len(self.a[f"c{k}"]) - 1)
-            seen = self.a[f"c{k}"][at] == context
-            out[left[seen]] += self.a[f"g{k}"][at[seen]]
-            keys = keys & np.uint32((1 << BITS * (k - 1)) - 1)
-        out[left] -= np.log(CLASSES)
-        return out
-
-    def dump(self) -> bytes:
-        f = io.BytesIO()
-        np.savez(f, **self.a)
-        return f.getvalue()
-
-    @classmethod
-    def load(cls, data: bytes) -> KneserNey:
-        with np.load(io.BytesIO(data)) as f:
-            return cls({k: f[k] for k in f.files})
+    parts = docs.select("lang", "text").mapInArrow(count, "lang string, hi bigint, lo bigint, n bigint")
+    return parts.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"))
+
+
+def _context() -> list[Column]:
+    """(hi, lo) of an n-gram without its last character."""
+    hi, lo = F.col("hi"), F.col("lo")
+    return [F.shiftright(hi, BITS).alias("c_hi"), F.shiftleft(hi.bitwiseAND(MASK), BITS * (LOW - 1)).bitwiseOR(F.shiftright(lo, BITS)).alias("c_lo")]
+
+
+def _shorter(order: int) -> list[Column]:
+    """(hi, lo) of the last order - 1 characters of an n-gram."""
+    n = order - 1
+    return [F.col("hi").bitwiseAND((1 << BITS * max(n - LOW, 0)) - 1).alias("s_hi"), F.col("lo").bitwiseAND((1 << BITS * min(n, LOW)) - 1).alias("s_lo")]
+
+
+def _discounts(types: DataFrame) -> DataFrame:
+    """(d_lang, d1, d2, d3): modified Kneser-Ney discounts for counts of 1, 2 and 3 or more."""
+    n = {k: F.count_if(F.col("n") == k).cast("double") for k in range(1, 5)}
+    by = types.groupBy(F.col("lang").alias("d_lang")).agg(*[n[k].alias(f"n{k}") for k in n])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    some = F.least("n1", "n2", "n3", "n4") > 0
+    d = [F.when(some, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0)), F.lit(0.05)), F.lit(float(k)))).otherwise(0.5 * k).alias(f"d{k}") for k in (1, 2, 3)]
+    return by.select("d_lang", *d)
+
+
+def probabilities(docs: DataFrame) -> DataFrame:
+    """(lang, hi, lo, p) of all n-grams of ORDER in rows (lang, text)."""
+    types = {ORDER: written(count_ngrams(docs), "ngrams")}
+    for k in range(ORDER - 1, 0, -1):  # shorter ones count the different characters before them
+        shorter = types[k + 1].select("lang", *_shorter(k + 1))
+        types[k] = written(shorter.groupBy("lang", F.col("s_hi").alias("hi"), F.col("s_lo").alias("lo")).agg(F.count("*").alias("n")), "ngrams")
+    lower = None
+    for k in range(1, ORDER + 1):
+        rows = types[k].select("lang", "hi", "lo", "n", *_context(), *_shorter(k))
+        # the discounts of a context from whole counts, so that no order of addition matters
+        seen = [F.count_if(F.col("n") == 1).alias("t1"), F.count_if(F.col("n") == 2).alias("t2"), F.count_if(F.col("n") > 2).alias("t3")]
+        context = rows.groupBy(F.col("lang").alias("x_lang"), F.col("c_hi").alias("x_hi"), F.col("c_lo").alias("x_lo")).agg(F.sum("n").alias("total"), *seen)
+        both = rows.join(context, (F.col("lang") == F.col("x_lang")) & (F.col("c_hi") == F.col("x_hi")) & (F.col("c_lo") == F.col("x_lo")))
+        both = both.join(_discounts(types[k]), F.col("lang") == F.col("d_lang"))
+        if lower is None:
+            both = both.withColumn("lower_p", F.lit(1.0 / CODE_POINTS))
+        else:
+            less = lower.select(F.col("lang").alias("l_lang"), F.col("hi").alias("l_hi"), F.col("lo").alias("l_lo"), F.col("p").alias("lower_p"))
+            both = both.join(less, (F.col("lang") == F.col("l_lang")) & (F.col("s_hi") == F.col("l_hi")) & (F.col("s_lo") == F.col("l_lo")))
+        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        left = F.col("d1") * F.col("t1") + F.col("d2") * F.col("t2") + F.col("d3") * F.col("t3")
+        p = (F.col("n") - d + left * F.col("lower_p")) / F.col("total")
+        lower = written(both.select("lang", "hi", "lo", p.alias("p")), "probabilities")
+    return lower
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, model binary) for each language, from all documents."""
+    """(part, n, keys, costs) for each range of hashes: all n-grams of all documents, sorted."""
+
+    @F.arrow_udf("bigint")
+    def keys(lang: pa.Array, hi: pa.Array, lo: pa.Array) -> pa.Array:
+        names = lang.dictionary_encode()
+        seeds = np.array([seed(x) for x in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()]
+        return pa.array(ngram_keys(hi.to_numpy(zero_copy_only=False).astype(np.int64), lo.to_numpy(zero_copy_only=False).astype(np.int64), seeds).view(np.int64))
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key")
-        model = KneserNey.fit(group["key"].to_numpy(np.int64), group["n"].to_numpy(np.int64))
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "model": [model.dump()]})
+    def packed(group: pa.Table) -> pa.Table:
+        key = group.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        cost = group.column("cost").to_numpy()[order].astype(np.int32)
+        return pa.table({"part": group.column("part")[:1], "n": pa.array([len(key)], pa.int64()), "keys": pa.array([key[order].tobytes()]), "costs": pa.array([cost.tobytes()])})
 
-    counts = count_ngrams(docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text")))
-    return written(counts.groupBy("lang").applyInPandas(fit, "lang string, model binary"), "kneser_ney")
+    found = probabilities(docs.select(lang_key(docs[lang_col]).alias("lang"), docs[text_col].alias("text")))
+    bits = max(int(found.count() / RANGE_KEYS).bit_length(), 1)
+    rows = found.select(keys("lang", "hi", "lo").alias("key"), F.round(-1e6 * F.log("p")).cast("bigint").alias("cost"))
+    rows = rows.select(F.shiftrightunsigned("key", 64 - bits).alias("part"), "key", "cost")
+    return written(rows.groupBy("part").applyInArrow(packed, "part bigint, n bigint, keys binary, costs binary"), "kneser_ney")
 
 
 def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
@@ -220,62 +248,92 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
     return n, word_chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat
 
 
-def stats_column(text: Column, lang: Column, models) -> Column:
-    """STATS of whole texts; nll is null for texts without a character. models: a broadcast dict of dumped models by language."""
+def _cost(text: str | None, lang: str, keys: np.ndarray, costs: np.ndarray) -> int:
+    """Sum of the costs of the text's n-grams that are among the keys."""
+    total = 0
+    if text and len(keys):
+        for hi, lo in ngrams(text):
+            key = ngram_keys(hi, lo, seed(lang))
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            total += int(costs[at][keys[at] == key].sum(dtype=np.int64))
+    return total
+
+
+def _arrays(model) -> tuple[np.ndarray, np.ndarray]:
+    parts = model.value if model is not None else []
+    return tuple(np.frombuffer(b"".join(p[k] for p in parts), kind) for k, kind in enumerate((np.uint64, np.int32)))
+
+
+def stats_column(text: Column, lang: Column, model) -> Column:
+    """STATS of whole texts. model: a broadcast list of (keys, costs) by ascending range, or None for costs of 0."""
 
     @F.arrow_udf(STATS)
     def stats(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        loaded = {k: KneserNey.load(v) for k, v in models.value.items()}
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nll")
-        kind = pa.struct([(k, pa.int64()) for k in names[:5]] + [("nll", pa.float64())])
+        arrays = _arrays(model)
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "cost")
+        kind = pa.struct([(k, pa.int64()) for k in names])
         for texts, langs in batches:
-            rows = []
-            for t, lang_ in zip(texts.to_pylist(), langs.to_pylist(), strict=True):
-                nll = -float(loaded[lang_].log_p(ngram_keys(t)).mean()) if t and lang_ in loaded else None
-                rows.append(dict(zip(names, (*text_stats(t), nll), strict=True)))
+            rows = [dict(zip(names, (*text_stats(t), _cost(t, x, *arrays)), strict=True)) for t, x in zip(texts.to_pylist(), langs.to_pylist(), strict=True)]
             yield pa.array(rows, kind)
 
-    return stats.asNondeterministic()(text, lang)
+    return stats.asNondeterministic()(text, lang_key(lang))
 
 
-def _rounds(models: DataFrame, limit: int) -> list[list[str | None]]:
-    """The languages in groups whose models stay within the limit together."""
-    sizes = models.select("lang", F.length("model").alias("n")).orderBy(F.desc("n"), "lang").collect()
-    out: list[tuple[int, list]] = []
-    for r in sizes:
-        fit = next((k for k, (n, _) in enumerate(out) if n + r["n"] <= limit), None)
-        if fit is None:
-            out.append((r["n"], [r["lang"]]))
-        else:
-            out[fit] = (out[fit][0] + r["n"], [*out[fit][1], r["lang"]])
-    return [langs for _, langs in out]
+def cost_column(text: Column, lang: Column, model) -> Column:
+    """Sums of the costs that one round's model gives."""
+
+    @F.arrow_udf("bigint")
+    def costs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        arrays = _arrays(model)
+        for texts, langs in batches:
+            yield pa.array([_cost(t, x, *arrays) for t, x in zip(texts.to_pylist(), langs.to_pylist(), strict=True)], pa.int64())
+
+    return costs.asNondeterministic()(text, lang_key(lang))
+
+
+def _rounds(models: DataFrame, limit: int) -> list[tuple[int, int]]:
+    """First and last range of each round; a round's ranges are within the limit together, or one."""
+    out: list[list[int]] = []
+    size = 0
+    for r in models.select("part", "n").orderBy("part").collect():
+        size += r["n"] * KEY_BYTES
+        if not out or size > limit:
+            out.append([r["part"], r["part"]])
+            size = r["n"] * KEY_BYTES
+        out[-1][1] = r["part"]
+    return [tuple(x) for x in out]
 
 
 def scored(docs: DataFrame, name: str, lang_col: str = "lang", text_col: str = "text", limit: int = MODEL_BYTES) -> DataFrame:
-    """docs with a column of STATS under the given name."""
+    """docs with a column of STATS under the given name, and in it nll, null for texts without a character."""
     spark = docs.sparkSession
     models = train(docs, lang_col, text_col)
-    text, lang = docs[text_col], docs[lang_col]
-
-    def in_round(langs: list) -> Column:
-        some = lang.isin([x for x in langs if x is not None])
-        return F.coalesce(some, F.lit(False)) | lang.isNull() if None in langs else F.coalesce(some, F.lit(False))
-
-    rounds = _rounds(models, limit) or [[]]
-    parts = []
-    for langs in rounds:
-        own = models.where(F.col("lang").isin([x for x in langs if x is not None]) | (F.col("lang").isNull() & F.lit(None in langs)))
-        sent = spark.sparkContext.broadcast({r["lang"]: bytes(r["model"]) for r in own.collect()})
-        rows = docs if len(rounds) == 1 else docs.where(in_round(langs))
-        parts.append(rows.withColumn(name, stats_column(text, lang, sent)))
-    if len(rounds) > 1:  # languages without any character have no model
-        sent = spark.sparkContext.broadcast({})
-        rest = [x for langs in rounds for x in langs]
-        parts.append(docs.where(~in_round(rest)).withColumn(name, stats_column(text, lang, sent)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rounds = _rounds(models, limit)
+
+    def sent(between: tuple[int, int]):
+        found = models.where(F.col("part").between(*between)).orderBy("part").collect()
+        return spark.sparkContext.broadcast([(bytes(r["keys"]), bytes(r["costs"])) for r in found])
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if len(rounds) <= 1:
+        model = sent(rounds[0]) if rounds else None
+        out = docs.withColumn(name, stats_column(docs[text_col], docs[lang_col], model))
+        cost = F.col(name)["cost"]
+    else:
+        row, total = free_name(docs, "row"), free_name(docs, "total_cost")
+        rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        costs = None
+        for between in rounds:
+            model = sent(between)
+            own = written(rows.select(row, cost_column(rows[text_col], rows[lang_col], model).alias(total)), "costs")
+            costs = own if costs is None else costs.unionByName(own)
+            model.destroy()
+        out = rows.join(costs.groupBy(row).agg(F.sum(total).alias(total)), row).withColumn(name, stats_column(rows[text_col], rows[lang_col], None))
+        cost = F.col(total)
+    n = F.char_length(F.col(f"`{text_col}`"))
+    s = F.col(name)
+    counts = [s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select(*columns, F.struct(*counts, F.when(n > 0, cost / (1e6 * n)).alias("nll")).alias(name))
 
 
 def base_failed(stats: Column) -> Column:
