@@ -292,8 +292,6 @@ def test_op8_model_grows_over_whole_code_points(spark, monkeypatch):
     for limit in (quality.MODEL_BYTES, 30_000):
         got = {r["id"]: r["q"]["nll"] for r in quality.scored(docs, "q", limit=limit).collect()}
         assert max(abs(got[k] - x) for k, x in enumerate(want)) < 1e-5
-    verdict = {r["id"]: r["q"]["kept"] for r in quality.judged(docs, "q", keep=["id"]).collect()}
-    assert not any(verdict[len(texts) + k] for k in range(5)) and np.mean([verdict[k] for k in range(200)]) > 0.9
 
 
 def test_op9(spark, sf):
