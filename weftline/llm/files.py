@@ -29,13 +29,13 @@ def create(parent: str, suffix: str) -> tuple[str, BinaryIO]:
     path = f"{parent}/{uuid.uuid4().hex}{suffix}"
     store, inner = _split(path)
     store.create_dir(inner.rpartition("/")[0], recursive=True)
-    return path, store.open_output_stream(inner)
+    return path, store.open_output_stream(inner, compression=None)
 
 
 def open_stream(path: str):
     """A file as a stream that is read from its start."""
     store, inner = _split(path)
-    return store.open_input_stream(inner)
+    return store.open_input_stream(inner, compression=None)
 
 
 def open_file(path: str):

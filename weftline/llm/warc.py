@@ -6,12 +6,16 @@ payload and name the response they refer to. Payloads are told apart by length a
 or more take part in the join, as narrow rows.
 
 Reading: a stream of bounded chunks goes through one zlib decompressor after the other, one for each gzip
-member. The head ends at the first empty line, Content-Length frames the block, and the block's and the
-payload's digests are verified; a digest or a length that is wrong, or a file that ends early, is an error.
+member. The head ends at the first empty line, Content-Length frames the block, and those of the block's and
+the payload's digests that are SHA-1 are verified; a digest or a length that is wrong, or a file that ends
+early, is an error. Archives of others are read too: field names in any case, folded fields, records without
+digests, and of any type. The payload of a response or revisit is what follows its HTTP head, that of a resource
+or conversion its block; other types (warcinfo, request, metadata) have none.
 
 A null html is an empty payload. A null page_id is less than any other. Rows that share the largest page_id
-of their group are all responses. Repeated rows stay. A null url gives no WARC-Target-URI. An empty table
-gives no records.
+and the payload of their group are all responses; whether a row is a revisit depends on its id and payload
+together, so an id may come with several payloads. Repeated rows stay. A null url gives no WARC-Target-URI.
+An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import files
@@ -44,9 +48,10 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
-def page_of(value: str) -> int | None:
-    found = value.removeprefix("<urn:page:").removesuffix(">")
-    return None if found == "null" else int(found)
+def page_of(value: str | None) -> int | None:
+    """The page_id of a record id of ours; null for any other."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", value or "")
+    return int(found[1]) if found else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False) -> bytes:
@@ -90,29 +95,62 @@ def members(stream) -> Iterator[bytes]:
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and block of a record; raises ValueError if its framing or its block digest is wrong."""
+    """Header fields (names in lower case) and block of a record; raises ValueError if its framing or its block digest is wrong."""
     end = member.find(b"\r\n\r\n")
-    lines = member[:end].decode().split("\r\n")
+    lines = re.sub(rb"\r\n[ \t]+", b" ", member[: max(end, 0)]).decode(errors="replace").split("\r\n")
     if end < 0 or not lines[0].startswith("WARC/"):
         raise ValueError("no WARC record")
-    fields = dict(line.split(": ", 1) for line in lines[1:])
-    n = int(fields["Content-Length"])
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    name = fields.get("warc-record-id")
+    if not re.fullmatch("[0-9]+", fields.get("content-length", "")):
+        raise ValueError(f"{name} has no Content-Length")
+    n = int(fields["content-length"])
     block = member[end + 4 : end + 4 + n]
     if len(block) != n or member[end + 4 + n :] != _EOL + _EOL:
-        raise ValueError(f"Content-Length of {fields['WARC-Record-ID']} does not fit its block")
-    if fields["WARC-Block-Digest"] != f"sha1:{sha1_base32(block)}":
-        raise ValueError(f"block digest of {fields['WARC-Record-ID']} differs")
+        raise ValueError(f"Content-Length of {name} does not fit its block")
+    if not _agrees(fields.get("warc-block-digest"), block):
+        raise ValueError(f"block digest of {name} differs")
     return fields, block
 
 
-def revisits(pages: DataFrame, min_payload: int = 0) -> DataFrame:
-    """(revisit_id, refers_to) of the pages, from rows (page_id, html), whose payload another page with a larger id holds."""
+def _agrees(digest: str | None, data: bytes) -> bool:
+    """Whether a digest field is absent, of another kind, or the SHA-1 of the data in base32 or hexadecimal digits."""
+    kind, _, value = (digest or "").partition(":")
+    return kind.lower() != "sha1" or value.upper() in (sha1_base32(data), hashlib.sha1(data).hexdigest().upper())
+
+
+def payload_of(fields: dict[str, str], block: bytes) -> tuple[bytes | None, int | None, str | None]:
+    """Payload of a record (null if it holds none), its full length and its SHA-1 in base32; raises ValueError if they differ from what the record says."""
+    kind, name = fields.get("warc-type", "").lower(), fields.get("warc-record-id")
+    if kind in ("resource", "conversion"):
+        payload, size = block, len(block)
+    elif kind in ("response", "revisit") and block[:5] == b"HTTP/":
+        head, _, payload = block.partition(b"\r\n\r\n")
+        found = re.search(rb"(?im)^Content-Length:[ \t]*([0-9]+)", head)
+        size = int(found[1]) if found else (None if kind == "revisit" else len(payload))
+    elif kind == "response":
+        payload, size = block, len(block)
+    else:
+        payload, size = None, None
+    told = fields.get("warc-payload-digest")
+    if kind == "revisit":
+        return None, size, told.partition(":")[2] if told else None
+    if payload is not None and (len(payload) != size or not _agrees(told, payload)):
+        raise ValueError(f"payload of {name} differs from its digest or length")
+    return payload, size, None if payload is None else sha1_base32(payload)
+
+
+def _payload_key() -> list[Column]:
     data = F.coalesce("html", F.lit(""))
-    keys = pages.select("page_id", F.sha1(data.cast("binary")).alias("digest"), F.octet_length(data).alias("n")).where(F.col("n") >= min_payload)
-    keys = written(keys, "payload_keys")
+    return [F.sha1(data.cast("binary")).alias("digest"), F.octet_length(data).alias("n")]
+
+
+def revisits(pages: DataFrame, min_payload: int = 0) -> DataFrame:
+    """(revisit_id, digest, n, refers_to), once each, of the pages, from rows (page_id, html), whose payload another page with a larger id holds."""
+    keys = written(pages.select("page_id", *_payload_key()).where(F.col("n") >= min_payload), "payload_keys")
     groups = keys.groupBy("digest", "n").agg(F.count("*").alias("copies"), F.max("page_id").alias("refers_to")).where("copies > 1").drop("copies")
     found = keys.join(groups, ["digest", "n"]).where("page_id < refers_to or (page_id is null and refers_to is not null)")
-    return written(found.select(F.col("page_id").alias("revisit_id"), "refers_to").distinct(), "revisits")
+    return written(found.select(F.col("page_id").alias("revisit_id"), "digest", "n", "refers_to").distinct(), "revisits")
 
 
 def write_archives(pages: DataFrame, parent: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0) -> DataFrame:
@@ -120,11 +158,9 @@ def write_archives(pages: DataFrame, parent: str, id_col: str = "page_id", url_c
     small_batches(pages.sparkSession)
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     again = revisits(rows, min_payload)
-    marked = rows.join(again, rows["page_id"].eqNullSafe(again["revisit_id"]), "left")
-    if min_payload:  # a repeated id may also have a smaller payload
-        fits = F.octet_length(F.coalesce("html", F.lit(""))) >= min_payload
-        marked = marked.withColumn("refers_to", F.when(fits, F.col("refers_to")))
-    marked = marked.select("page_id", "url", "html", "refers_to")
+    keyed = rows.select("*", *_payload_key())
+    same = keyed["page_id"].eqNullSafe(again["revisit_id"]) & (keyed["digest"] == again["digest"]) & (keyed["n"] == again["n"])
+    marked = keyed.join(again, same, "left").select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = out = None
@@ -143,36 +179,41 @@ def write_archives(pages: DataFrame, parent: str, id_col: str = "page_id", url_c
     return written(marked.mapInArrow(write, "path string, records bigint, bytes bigint"), "warc_manifest")
 
 
-READ = "page_id bigint, url string, record_type string, payload string, payload_bytes bigint, payload_digest string, refers_to bigint"
+READ = "record_id string, page_id bigint, url string, record_type string, payload string, payload_bytes bigint, payload_digest string, refers_to bigint"
+_KINDS = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of the archives: page_id, url, record_type, payload (null for revisits, or if not asked for), payload_bytes and payload_digest (of the full payload), refers_to."""
+    """The records of the archives in a manifest (path, records; null for an unknown number): READ's columns.
+
+    page_id and refers_to are null for records that we did not write; payload is null for revisits, for types without
+    one, or if not asked for, and other text than UTF-8 is decoded with replacement characters; payload_bytes and
+    payload_digest are those of the full payload.
+    """
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], [c.split()[0] for c in READ.split(", ")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to")
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         for batch in batches:
             for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 rows, n = [], 0
                 with files.open_stream(path) as stream:
                     for member in members(stream):
                         fields, block = parse(member)
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        size = int(re.search(rb"Content-Length: ([0-9]+)", head)[1])
-                        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                        revisit = fields["WARC-Type"] == "revisit"
-                        if not revisit and (len(payload) != size or sha1_base32(payload) != digest):
-                            raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest or length")
-                        rows.append((page_of(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], payload.decode() if with_payload and not revisit else None, size, digest, page_of(fields["WARC-Refers-To"]) if revisit else None))
+                        payload, size, digest = payload_of(fields, block)
+                        kind = fields.get("warc-type", "").lower()
+                        text = payload.decode(errors="replace") if with_payload and payload is not None else None
+                        name = fields.get("warc-record-id")
+                        rows.append((name, page_of(name), fields.get("warc-target-uri"), kind, text, size, digest, page_of(fields.get("warc-refers-to")) if kind == "revisit" else None))
                         n += 1
                         if len(rows) == 256:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+                            yield batch_of(rows)
                             rows = []
-                if n != records:
+                if records is not None and n != records:
                     raise ValueError(f"{path} holds {n} records, its manifest says {records}")
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+                    yield batch_of(rows)
 
     n = max(1, manifest.count())
     return manifest.repartition(n).mapInArrow(read, READ)
