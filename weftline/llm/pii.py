@@ -18,7 +18,9 @@ Added kinds:
   url_user the user part of scheme://user:password@host
 
 Offsets count code points; end is exclusive. A null or empty text has no spans. Whole texts are scanned, and
-a long run of one class is read once. Repeated rows stay; other columns are left out.
+each kind reads a long run of its class once, so a scan takes time in proportion to the text. A redaction scans
+again until it finds nothing, as replacing one span can lay bare another. Repeated rows stay; other columns are
+left out.
 """
 
 from __future__ import annotations
@@ -51,7 +53,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+((?:\.[0-9]+){3})?")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+")
-_VALUE = re.compile(r"""["']?\s*[=:]\s*["']?([A-Za-z0-9_+/.=-]{8,})""")
+_ASSIGNED = re.compile(r"""["']?\s*[=:]\s*["']?""")
+_VALUE = re.compile(r"[A-Za-z0-9_+/.=-]*")
+_LAST_DIGIT = re.compile(r".*[0-9]", re.S)
 _KEY_ID = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _USER = re.compile(r"[^\s/@:]+:[^\s/@]+(?=@)")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
@@ -118,6 +122,8 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     found: list[tuple[str, int, int]] = []
     # where each base kind may match next; where the run of digits last seen by a kind ends
     email_at = ip_at = card_at = phone_at = account_at = 0
+    # the run of value characters last seen behind a cue: its end, and where its last digit ends
+    value_end = digit_end = 0
     n = len(text)
     for end, (kind, length) in anchors().iter(_lower(text)):
         at = end - length + 1
@@ -157,9 +163,14 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                     if 8 <= sum("0" <= c <= "9" for c in text[at:stop]) <= 15:
                         found.append(("phone", at, stop))
         elif kind == "cue":
-            m = _VALUE.match(text, end + 1)
-            if m and any("0" <= c <= "9" for c in m[1]):
-                found.append(("secret", m.start(1), m.end(1)))
+            if m := _ASSIGNED.match(text, end + 1):
+                start = m.end()
+                if start >= value_end:
+                    value_end = _VALUE.match(text, start).end()
+                    m = _LAST_DIGIT.match(text, start, value_end)
+                    digit_end = m.end() if m else 0
+                if value_end - start >= 8 and digit_end > start:
+                    found.append(("secret", start, value_end))
         elif kind == "key":
             if (at == 0 or not text[at - 1].isalnum()) and (m := _KEY_ID.match(text, at)):
                 found.append(("secret", at, m.end()))
