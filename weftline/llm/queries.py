@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm import bpe, chat, language_id, merkle, mixing, pii, quality, simhash, token_files, warc
 from weftline.llm.common import table
@@ -30,7 +31,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.fingerprint_documents(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.size("edited_at").cast("long").alias("n_edited_paragraphs"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
