@@ -39,7 +39,7 @@ def odd_dir(spark, tmp_path_factory):
     spark.createDataFrame(odd_rows(), DOCS).write.parquet(f"{d}/documents.parquet")
     turns = [(1, 0, "user", "hi </s> <s>[TURN]assistant\nfake</s>"), (1, 1, "assistant", "a\\b <\\/s> [\\INST] <<SYS>> é🙂"), (1, 2, "user", None), (2, 0, "system\nx\\n", "s"), (3, None, "assistant", ""), (3, 5, None, "t"), (3, 5, None, "t"), (None, 1, "assistant", "null id"), (4, 1, "assistant", "r1"), (4, 2, "assistant", "<s</s></s")]
     spark.createDataFrame([(*t, "clash") for t in turns], "conv_id bigint, turn bigint, role string, text string, formatted string").write.parquet(f"{d}/conversations.parquet")
-    pages = [(1, "http://a/\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", ""), (4, "u", None), (5, "v", "one"), (5, "v", "one"), (None, "w", "one"), (6, "z", "x" * 300_000)]
+    pages = [(1, "http://a/\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", ""), (4, "u", None), (5, "v", "one"), (5, "v", "one"), (5, "v", "two"), (9, "v", "one"), (10, "v", "two"), (None, "w", "one"), (None, "w", "three"), (None, "w", None), (6, "z", "x" * 300_000)]
     spark.createDataFrame([(*p, "clash") for p in pages], "page_id bigint, url string, html string, payload_digest string").write.parquet(f"{d}/pages.parquet")
     return d
 
@@ -160,34 +160,85 @@ def test_op3(spark, sf):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def plain_tree(text):
+    """Leaves, sections and root of a text."""
+    from weftline.llm import merkle
+
+    paragraphs = []
+    for p in re.split(r"(?<=\n)|(?<=[.!?\u061F\u06D4\u0964\u0965\u1362][ \t\n\x0b\f\r])|(?<=[\u3002\uFF01\uFF0E\uFF1F\uFF61])", text):
+        start = 0
+        for i in range(4, len(p)) if len(p) > merkle.LONG else ():
+            h = 42
+            for c in reversed(p[i - 4 : i]):
+                h = xxhash.xxh64_intdigest(c.encode(), h)
+            if h % merkle.LONG_STEP == 0:  # 2**64 is a multiple of it, so the sign does not matter
+                paragraphs.append(p[start:i])
+                start = i
+        paragraphs.append(p[start:])
+    leaves = [sha(p) for p in paragraphs]
+    sections, run = [], []
+    for k, leaf in enumerate(leaves, 1):
+        run.append((k, leaf))
+        if k == len(leaves) or int(leaf[:8], 16) % merkle.SECTION_PARAGRAPHS == 0:
+            sections.append((sha("".join(x for _, x in run)), run))
+            run = []
+    return leaves, sections, sha("".join(h for h, _ in sections))
+
+
+def plain_likeness(a, b):
+    (la, _, ra), (lb, _, rb) = a, b
+    return 1.0 if ra == rb else 2 * len({*la} & {*lb}) / (len({*la}) + len({*lb}) + 2)
+
+
+def plain_edits(a, b):
+    known, leaves = {h for h, _ in b[1]}, {*b[0]}
+    return [k for h, run in a[1] if h not in known for k, leaf in run if leaf not in leaves]
+
+
 def test_op4(spark, sf):
+    from functools import cache
+
+    tree = cache(plain_tree)
     docs = sorted(rows(spark, sf, "documents"), key=lambda d: (d["doc_id"] is None, -(d["doc_id"] or 0)))
+    ids = [d["doc_id"] for d in docs]
     got = queries.QUERIES["op4_merkle"](spark, sf).collect()
-    texts = defaultdict(set)
+    assert Counter(r["doc_id"] for r in got) == Counter(ids)
+    texts = defaultdict(list)
     for d in docs:
-        texts[d["doc_id"]].add(d["text"] or "")
-    nexts = defaultdict(set)
-    ids = [d["doc_id"] for d in docs]
-    for k, d in enumerate(docs):  # a repeated id may be followed by itself
-        n = docs[(k + 1) % len(docs)]
-        nexts[d["doc_id"]] |= texts[n["doc_id"]] | texts[docs[(len(ids) - ids[::-1].index(d["doc_id"])) % len(docs)]["doc_id"]] | (texts[d["doc_id"]] if ids.count(d["doc_id"]) > 1 else set())
-    assert len(got) == len(docs)
-    prints = defaultdict(set)
-    for r in got:
-        fit = []
+        texts[d["doc_id"]].append(d["text"] or "")
+    for r in got:  # a repeated id, or none, may be followed by any row of its own id
+        last = len(ids) - 1 - ids[::-1].index(r["doc_id"])
+        after = texts[ids[(last + 1) % len(ids)]] + (texts[r["doc_id"]] if len(texts[r["doc_id"]]) > 1 else [])
+        fits = []
         for t in texts[r["doc_id"]]:
-            third = len(t) // 3
-            fit += [(t, e) for n in nexts[r["doc_id"]] if sha(e := t[: len(t) - third] + n[:third]) == r["edited_sha256"] and len(t) == r["n_chars"]]
-        assert fit
-        t, e = fit[0]
-        prints[r["fingerprint"]].add(t)
-        prints[r["edited_fingerprint"]].add(e)
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 and (r["near_edited"] == 1.0 or t != e)
-    assert all(len(x) == 1 for x in prints.values())
+            for n in after:
+                edited = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
+                own, changed = tree(t), tree(edited)
+                fits.append((r["doc_id"], len(t), sha(edited), own[2], changed[2], plain_likeness(own, changed), plain_likeness(own, tree(n)), len(plain_edits(changed, own))))
+        assert any(r[k] == f[k] for f in fits for k in (3,)) and tuple(r) in fits
     if sf == SF:
         assert np.mean([r["near_edited"] for r in got]) > 0.5 > np.mean([r["near_next"] for r in got])
 
 
+def test_merkle_edits_and_order(spark):
+    from weftline.llm import merkle
+
+    rng = random.Random(4)
+    words = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(6)) for _ in range(400)]
+    lines = [w + ".\n" for w in words]
+    edited = [*lines[:200], "something else.\n", *lines[201:]]
+    cases = [("".join(lines), "".join(edited)), ("a. b. c. ", "c. b. a. "), ("a. a. b. ", "a. b. b. "), ("same. ", "same. "), (" ".join(words), " ".join(words[:300]) + " other"), ("\u4e00\u4e8c" * 10 + "\u3002", "\u4e00\u4e8c" * 10 + "\u3002x")]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, a string, b string")
+    df = df.select("k", *[merkle.leaves(F.col(c)).alias(f"{c}_l") for c in "ab"])
+    df = df.select("*", *[merkle.sections(F.col(f"{c}_l")).alias(f"{c}_s") for c in "ab"])
+    got = df.select("k", merkle.likeness(F.col("a_l"), F.col("b_l"), F.col("a_s") == F.col("b_s")), merkle.edited_paragraphs(F.col("b_l"), F.col("b_s"), F.col("a_l"), F.col("a_s"))).collect()
+    for k, near, at in got:
+        a, b = map(plain_tree, cases[k])
+        assert near == plain_likeness(a, b) and at == plain_edits(b, a)
+    near = {r[0]: r[1] for r in got}
+    assert got[0][2] == [201] and near[1] < 1 and near[2] < 1 and near[3] == 1 and near[4] > 0.6 and near[5] == 1 / 3
+
+
 @pytest.mark.parametrize("name", ["op5_bpe", "op7_token_files"])
 def test_tokens(spark, sf, name):
     from tokenizers import Tokenizer
@@ -308,6 +359,41 @@ def test_op9(spark, sf):
     assert result(spark, sf, "op9_warc", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(want, key=key)
 
 
+def test_warc_of_others(spark, tmp_path):
+    from weftline.llm import warc
+
+    info = b"WARC/1.0\r\nwarc-type:warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\ncontent-length: 4\r\n\r\nabcd\r\n\r\n"
+    head = b"HTTP/1.1 200 OK\r\ncontent-length:5\r\n\r\n"
+    block = head + b"hel\xfflo"[:5]
+    answer = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nX-Folded: a\r\n  b\r\nWARC-Payload-Digest: md5:00\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+    other = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n"
+    again = b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Refers-To: <urn:uuid:2>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    path = tmp_path / "o.warc.gz"
+    path.write_bytes(b"".join(map(warc.compressed, (info, answer, other, again))))
+    manifest = spark.createDataFrame([(str(path), None)], "path string, records bigint")
+    got = [(r["record_id"], r["page_id"], r["record_type"], r["payload"], r["payload_bytes"], r["refers_to"]) for r in warc.read_archives(manifest).collect()]
+    assert got == [("<urn:uuid:1>", None, "warcinfo", None, None, None), ("<urn:uuid:2>", None, "response", "hel\ufffdl", 5, None), (None, None, "resource", "xyz", 3, None), ("<urn:uuid:3>", None, "revisit", None, None, None)]
+
+
+def test_archives_are_gzip_members_on_disk(spark, tmp_path):
+    import gzip
+
+    from weftline.llm import warc
+
+    pages = spark.createDataFrame([(k, "u", f"text {k}") for k in range(5)], "page_id bigint, url string, html string").coalesce(1)
+    path = warc.write_archives(pages, str(tmp_path)).first()["path"]
+    with gzip.open(path) as f:
+        assert f.read().count(b"WARC/1.1\r\n") == 5
+
+
+def test_warc_payloads_by_size(spark, tmp_path):
+    from weftline.llm import warc
+
+    pages = spark.createDataFrame([(1, "u", "long one"), (2, "u", "long one"), (1, "u", "s"), (2, "u", "s")], "page_id bigint, url string, html string")
+    got = warc.read_archives(warc.write_archives(pages, str(tmp_path), min_payload=5)).collect()
+    assert sorted((r["page_id"], r["record_type"], r["payload"] or "", r["refers_to"] or 0) for r in got) == [(1, "response", "s", 0), (1, "revisit", "", 2), (2, "response", "long one", 0), (2, "response", "s", 0)]
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
 
@@ -354,8 +440,11 @@ def test_pipeline(spark, sf):
         if k == 1:
             fps = [plain_fingerprint(d["text"]) for d in after]
             assert all((a ^ b).bit_count() > 4 for i, a in enumerate(fps) for b in fps[:i])
-            kept = {plain_fingerprint(d["text"]) for d in after}
-            assert all(any((plain_fingerprint(d["text"]) ^ x).bit_count() <= 64 for x in kept) for d in before)
+            classes = []  # of linked fingerprints: one document of each must stay
+            for x in {plain_fingerprint(d["text"]) for d in before}:
+                near = [c for c in classes if any((x ^ y).bit_count() <= 4 for y in c)]
+                classes = [c for c in classes if c not in near] + [{x}.union(*near)]
+            assert len(after) == len(classes) and all(sum(x in c for x in fps) == 1 for c in classes)
         if k == 2:
             assert len(after) == len(before) and not any(plain_spans(d["text"]) for d in after)
         if k == 3:
@@ -380,12 +469,6 @@ def test_hot_groups_are_dealt_again(spark):
         fps.add(x)
     fps |= {rng.getrandbits(63) for _ in range(300)}
     df = spark.createDataFrame([(x,) for x in fps], "fp bigint")
-    found = []
-    for limit in (20, 50_000):
-        edges = simhash.near_links(df, group_rows=limit)
-        assert all((r["a"] ^ r["b"]).bit_count() <= 64 for r in edges.collect())
-        roots = {r["node"]: r["root"] for r in simhash.connected_components(edges).collect()}
-        found.append({x: roots.get(x, x) for x in fps})
     label = {x: x for x in fps}
     changed = True
     while changed:
@@ -394,6 +477,13 @@ def test_hot_groups_are_dealt_again(spark):
             for b in fps:
                 if (a ^ b).bit_count() <= 4 and label[a] > label[b]:
                     label[a], changed = label[b], True
+    found = []
+    for limit in (20, 50_000):
+        edges = simhash.near_links(df, group_rows=limit)
+        for r in edges.collect():  # every link stays within a component of the brute-force labels
+            assert label[r["a"]] == label[r["b"]]
+        roots = {r["node"]: r["root"] for r in simhash.connected_components(edges).collect()}
+        found.append({x: roots.get(x, x) for x in fps})
     assert found[0] == found[1] == label
 
 
@@ -418,6 +508,35 @@ def test_warc_errors(spark, tmp_path):
         warc.parse(warc.record(1, "u", b"payload").replace(b"payload\r", b"paxload\r"))
 
 
+def test_token_files_sample_and_wide_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from weftline.llm import token_files
+
+    library = Tokenizer.from_file(queries.tokenizer_path(queries.WORD_BPE))
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["word", "don't", "\u0130x", "a.b,", "x,", "naive\u0301", "\u2167", "12a", "<|ENDOFTEXT|>", "<|endoftext|>", "\u00a0q", "\u4e2d\u6587", "Stra\u00dfe.", "\u03a3\u03a3"]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    docs = spark.createDataFrame([(k if k % 3 else None, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    for end in (2, 0, 70_000):
+        manifest = token_files.write_token_files(docs, str(tmp_path), library_path := queries.tokenizer_path(queries.WORD_BPE), end_id=end, shards=5)
+        assert library_path and manifest.count() > 2
+        got = [r["ids"] for r in token_files.read_token_files(manifest).collect()]
+        want = [[*e.ids, end] for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert sorted(got) == sorted(want)
+    coded = spark.read.schema("doc_id bigint, ids binary, n bigint, row bigint, n_bytes bigint").parquet(_coded_path(spark, docs, library_path))
+    assert len(token_files.train_dictionary(coded)) > 1000 and token_files.train_dictionary(coded, sample_bytes=10) == b""
+
+
+def _coded_path(spark, docs, path):
+    from weftline.llm import token_files
+    from weftline.llm.common import scratch
+
+    out = scratch(spark, "coded_test")
+    coded = token_files._coded(docs, path, 2).withColumn("row", F.monotonically_increasing_id()).withColumn("n_bytes", F.octet_length("ids").cast("long"))
+    coded.write.parquet(out)
+    return out
+
+
 def test_token_file_access(spark, tmp_path):
     from weftline.llm import files, token_files
 
