@@ -10,23 +10,37 @@ from weftline.functions.expressions import formality_rank, pair_score
 from weftline.functions.vocab import COMPLEMENTS, FORMALITY_RELEVANT
 
 
+#: Price buckets of an octave: the unit in which a class is ordered.
+BUCKETS = 256
+
+
 def _nearest(anchors: DataFrame, items: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """(src, dst): for each anchor and class (its keys) the k items next in price on either side.
+    """For each anchor and class (its keys) the k items next in price on either side: src, its columns a (struct), dst, its columns b.
 
-    Places within a class come from one sort of anchors and items together, so no pair is looked at that is not returned.
+    Places within a class are those within a price bucket plus the items of lower buckets, so no window spans a class and
+    no pair is looked at that is not returned. Of equal prices the smaller id is nearer, on both sides.
     """
-    up = F.row_number().over(W.partitionBy(*keys).orderBy("price", "item_id"))
-    down = F.row_number().over(W.partitionBy(*keys).orderBy("price", F.desc("item_id")))  # of equal prices the smaller id is nearer, on this side too
-    placed = items.select(*keys, F.col("item_id").alias("dst"), F.col("price").alias("p"), up.alias("up"), down.alias("down"))
-    # an anchor stands before all items of its price: the items below it number `below`
-    mixed = anchors.select(*keys, F.col("src"), F.col("price"), F.lit(0).alias("is_item")).unionByName(placed.select(*keys, F.lit(None).cast("string").alias("src"), F.col("p").alias("price"), F.lit(1).alias("is_item")))
-    below = F.sum("is_item").over(W.partitionBy(*keys).orderBy("price", "is_item").rowsBetween(W.unboundedPreceding, W.currentRow))
-    where = mixed.withColumn("below", below).where("is_item = 0").select(*keys, "src", "below")
-    places = [F.struct(F.lit(True).alias("up"), F.sequence(F.col("below") + 1, F.col("below") + k).alias("at"))]
-    places.append(F.struct(F.lit(False).alias("up"), F.when(F.col("below") > 0, F.sequence(F.greatest(F.col("below") - k + 1, F.lit(1)), F.col("below"))).alias("at")))
-    wanted = where.select(*keys, "src", F.explode(F.array(*places)).alias("s")).select(*keys, "src", F.col("s.up").alias("is_up"), F.explode("s.at").alias("place"))
+    bucket = F.when(F.col("price") > 0, F.floor(F.log2(F.col("price").cast("double")) * BUCKETS)).otherwise(-1).alias("bucket")
+    none = {"a": anchors.schema["a"].dataType, "b": items.schema["b"].dataType}
+    both = anchors.select(*keys, "src", F.lit(None).cast("string").alias("dst"), "price", bucket, F.lit(0).alias("is_item"), "a", F.lit(None).cast(none["b"]).alias("b"))
+    both = both.unionByName(items.select(*keys, F.lit(None).cast("string").alias("src"), "dst", "price", bucket, F.lit(1).alias("is_item"), F.lit(None).cast(none["a"]).alias("a"), "b"))
+    sizes = both.groupBy(*keys, "bucket").agg(F.sum("is_item").alias("size"))
+    lower = F.coalesce(F.sum("size").over(W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    both = both.join(sizes.select(*keys, "bucket", lower.alias("lower")), [*keys, "bucket"])
+    # an anchor stands before all items of its price
+    within = W.partitionBy(*keys, "bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    up = F.col("lower") + F.sum("is_item").over(within.orderBy("price", "is_item", "dst"))
+    down = F.col("lower") + F.sum("is_item").over(within.orderBy("price", "is_item", F.desc("dst")))
+    placed = both.withColumn("up", up).withColumn("down", down)
+    below = F.col("up")
+    places = F.array(
+        F.struct(F.lit(True).alias("is_up"), F.sequence(below + 1, below + k).alias("at")),
+        F.struct(F.lit(False).alias("is_up"), F.when(below > 0, F.sequence(F.greatest(below - k + 1, F.lit(1)), below)).alias("at")),
+    )
+    wanted = placed.where("is_item = 0").select(*keys, "src", "a", F.explode(places).alias("s")).select(*keys, "src", "a", "s.is_up", F.explode("s.at").alias("place"))
     sides = F.explode(F.array(F.struct(F.lit(True).alias("is_up"), F.col("up").alias("place")), F.struct(F.lit(False).alias("is_up"), F.col("down").alias("place"))))
-    return wanted.join(placed.select(*keys, "dst", sides.alias("s")).select(*keys, "dst", "s.*"), [*keys, "is_up", "place"]).select("src", "dst")
+    offered = placed.where("is_item = 1").select(*keys, "dst", "b", sides.alias("s")).select(*keys, "dst", "b", "s.*")
+    return wanted.join(offered, [*keys, "is_up", "place"]).select("src", "a", "dst", "b")
 
 
 def _top(directed: DataFrame, k: int) -> DataFrame:
@@ -34,29 +48,82 @@ def _top(directed: DataFrame, k: int) -> DataFrame:
     return directed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
-def build_edges(items: DataFrame, k: int = 15, anchors: DataFrame | None = None) -> DataFrame:
+def _colors(items: DataFrame) -> Column:
+    """Lower-case, trimmed, different colors of an item, from its column colors (array) or color."""
+    found = F.col("colors") if "colors" in items.columns else F.array("color")
+    return F.array_distinct(F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda c: F.lower(F.trim(c))), lambda c: c != ""))
+
+
+def _base(items: DataFrame) -> DataFrame:
+    return items.select("item_id", "category", "gender", _colors(items).alias("colors"), formality_rank(F.col("formality")).alias("rank"), "price")
+
+
+def _partners(category: Column, pairs: list[tuple[str, str]]) -> Column:
+    """The categories that go with a category."""
+    table = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs])
+    return F.transform(F.filter(table, lambda p: p["x"] == category), lambda p: p["y"])
+
+
+def complements(categories: tuple[str, ...] | None = None) -> list[tuple[str, str]]:
+    """Ordered pairs of categories that go together, all or those among some categories."""
+    return [(a, b) for a, bs in COMPLEMENTS.items() for b in bs if categories is None or (a in categories and b in categories)]
+
+
+def build_edges(items: DataFrame, k: int = 15, anchors: DataFrame | None = None, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """Edges (src_id, dst_id, src_category, dst_category, weight), src_id < dst_id: for each anchor and complementary category the k best partners.
 
-    Partners must agree in gender (or either is unisex) and be at most one step of formality apart where both categories
-    count for it. Within one class of category, gender, formality and price side, the score falls with the distance in
-    price except for a color in common; so the k nearest in price of each class, and the k nearest of each class with the
-    anchor's color, hold the k best. Equal prices have equal scores and are taken in order of id; scores that only
-    rounding makes equal are taken in order of price.
+    Items have item_id, category, gender, formality, price and colors (array) or color. `pairs` limits the (anchor,
+    partner) categories. Partners must agree in gender (or either is unisex) and be at most one step of formality apart
+    where both categories count for it. An item is offered to each gender that may have it, so an anchor looks into one
+    class by gender. Within a class of category, gender, formality and whether there is a color, the score falls with the
+    distance in price except for a color in common; so the k nearest in price of each class, and the k nearest of those
+    with one of the anchor's colors, hold the k best. Equal scores are taken in order of id; at the edge of the k nearest,
+    different prices whose scores only rounding makes equal (within four millionths) are taken in order of price.
     """
-    base = items.select("item_id", "category", "gender", "color", formality_rank(F.col("formality")).alias("rank"), "price")
-    pairs = [(a, b) for a, bs in COMPLEMENTS.items() for b in bs]
-    partner = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    a = (base if anchors is None else base.join(anchors.select("item_id"), "item_id", "left_semi")).select(F.col("item_id").alias("src"), F.col("category").alias("src_category"), F.col("gender").alias("g"), F.col("rank").alias("r"), "color", "price")
-    a = a.select("*", F.explode(F.transform(F.filter(partner, lambda p: p["a"] == F.col("src_category")), lambda p: p["b"])).alias("category"))
-    genders = F.when(F.col("g") == "unisex", F.array(*map(F.lit, ("men", "women", "unisex", "kid")))).otherwise(F.array(F.col("g"), F.lit("unisex")))
-    relevant = F.col("src_category").isin(*FORMALITY_RELEVANT) & F.col("category").isin(*FORMALITY_RELEVANT)
-    ranks = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda x: ~relevant | (F.abs(x - F.col("r")) <= 1))
-    a = a.select("*", F.explode(genders).alias("gender")).select("*", F.explode(ranks).alias("rank"))
-    found = _nearest(a, base, ["category", "gender", "rank"], k).unionByName(_nearest(a, base, ["category", "gender", "rank", "color"], k)).distinct()
-    one, two = base.alias("one"), base.alias("two")
-    both = found.where("src <> dst").join(one, F.col("src") == F.col("one.item_id")).join(two, F.col("dst") == F.col("two.item_id"))
-    side = lambda t: {"rank": F.col(f"{t}.rank"), "colors": F.array(F.col(f"{t}.color")), "price": F.col(f"{t}.price")}
-    directed = both.select("src", "dst", F.col("one.category").alias("src_category"), F.col("two.category").alias("dst_category"), pair_score(side("one"), side("two")).alias("weight"))
+    base = _base(items)
+    pairs = complements() if pairs is None else pairs
+    a = base if anchors is None else base.join(anchors.select("item_id"), "item_id", "left_semi")
+    a = a.select("item_id", "category", "gender", "colors", "rank", "price", F.explode(_partners(F.col("category"), pairs)).alias("wanted"))
+    relevant = F.col("category").isin(*FORMALITY_RELEVANT) & F.col("wanted").isin(*FORMALITY_RELEVANT)
+    # class -1 holds items of unknown formality
+    ranks = F.filter(F.sequence(F.lit(-1), F.lit(3)), lambda x: ~relevant | F.col("rank").isNull() | (x < 0) | (F.abs(x - F.col("rank")) <= 1))
+    own = F.struct("category", "rank", "colors", "price")
+    a = a.select("*", own.alias("a"), F.explode(ranks).alias("class_rank"))
+    a = a.select(F.col("item_id").alias("src"), "price", "colors", "a", F.col("wanted").alias("category"), F.col("gender").alias("audience"), "class_rank")
+    audiences = F.when(F.col("gender") == "unisex", F.array(*map(F.lit, ("men", "women", "unisex", "kid")))).otherwise(F.array(F.col("gender"), F.lit("unisex")))
+    b = base.select("*", own.alias("b"), F.explode(audiences).alias("audience"))
+    b = b.select(F.col("item_id").alias("dst"), "price", "colors", "b", "category", "audience", F.coalesce("rank", F.lit(-1)).alias("class_rank"))
+    keys = ["category", "audience", "class_rank"]
+    colored = F.size("colors") > 0
+    near = _nearest(a.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("colored")), b.withColumn("colored", colored), [*keys, "colored"], k)
+    shared = F.array_intersect("a.colors", "b.colors")
+    same = _nearest(a.select("*", F.explode("colors").alias("color")), b.select("*", F.explode("colors").alias("color")), [*keys, "color"], k)
+    # pairs with a color in common come from the second search alone, once for each such color
+    found = near.where(F.size(shared) == 0).unionByName(same if "colors" not in items.columns else same.distinct()).where("src <> dst")
+    directed = found.select("src", "dst", F.col("a.category").alias("src_category"), F.col("b.category").alias("dst_category"), pair_score(_side("a"), _side("b")).alias("weight"))
+    return canonical(_top(directed, k))
+
+
+def _side(name: str) -> dict[str, Column]:
+    return {c: F.col(f"{name}.{c}") for c in ("rank", "colors", "price")}
+
+
+def build_edges_with(scorer, items: DataFrame, k: int = 15, anchors: DataFrame | None = None, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Edges as build_edges gives them, by any scorer: a function of two dicts of columns (rank, colors, price) to a weight.
+
+    Nothing is known of the scorer, so all pairs of a category pair that pass the gates are scored; for a large catalog
+    pass few anchors or pairs.
+    """
+    base = _base(items)
+    pairs = complements() if pairs is None else pairs
+    a = base if anchors is None else base.join(anchors.select("item_id"), "item_id", "left_semi")
+    a = a.select(F.struct("*").alias("a"), F.explode(_partners(F.col("category"), pairs)).alias("wanted"))
+    b = base.select(F.struct("*").alias("b"))
+    x, y = F.col("a"), F.col("b")
+    gender = (x["gender"] == y["gender"]) | (x["gender"] == "unisex") | (y["gender"] == "unisex")
+    loose = ~x["category"].isin(*FORMALITY_RELEVANT) | ~y["category"].isin(*FORMALITY_RELEVANT) | x["rank"].isNull() | y["rank"].isNull()
+    both = a.join(b, (F.col("wanted") == y["category"]) & (x["item_id"] != y["item_id"]) & gender & (loose | (F.abs(x["rank"] - y["rank"]) <= 1)))
+    directed = both.select(x["item_id"].alias("src"), y["item_id"].alias("dst"), x["category"].alias("src_category"), y["category"].alias("dst_category"), scorer(_side("a"), _side("b")).alias("weight"))
     return canonical(_top(directed, k))
 
 
@@ -79,10 +146,49 @@ def extend_edges(items: DataFrame, edges: DataFrame, k: int = 15) -> DataFrame:
 
 
 def directed(edges: DataFrame) -> DataFrame:
-    """Each edge in both directions: item_id, category, partner_id, partner_category, weight."""
-    there = edges.select(F.col("src_id").alias("item_id"), F.col("src_category").alias("category"), F.col("dst_id").alias("partner_id"), F.col("dst_category").alias("partner_category"), "weight")
-    back = edges.select(F.col("dst_id").alias("item_id"), F.col("dst_category").alias("category"), F.col("src_id").alias("partner_id"), F.col("src_category").alias("partner_category"), "weight")
-    return there.unionAll(back)
+    """Each edge in both directions, from one scan: item_id, category, partner_id, partner_category, weight."""
+
+    def way(x: str, y: str) -> Column:
+        return F.struct(F.col(f"{x}_id").alias("item_id"), F.col(f"{x}_category").alias("category"), F.col(f"{y}_id").alias("partner_id"), F.col(f"{y}_category").alias("partner_category"), "weight")
+
+    return edges.select(F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("e")).select("e.*")
+
+
+def neighbors(edges: DataFrame, item_id: str, category: str | None = None) -> DataFrame:
+    """(partner_id, partner_category, weight) of an item, the best first."""
+    rows = directed(edges.where((F.col("src_id") == item_id) | (F.col("dst_id") == item_id))).where(F.col("item_id") == item_id)
+    rows = rows if category is None else rows.where(F.col("partner_category") == category)
+    return rows.select("partner_id", "partner_category", "weight").orderBy(F.desc("weight"), "partner_id")
+
+
+def edge_weights(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs (a, b) with the weight of their edge, null without one."""
+    e = edges.select(F.col("src_id").alias("e_src"), F.col("dst_id").alias("e_dst"), "weight")
+    return pairs.join(e, (F.least("a", "b") == F.col("e_src")) & (F.greatest("a", "b") == F.col("e_dst")), "left").drop("e_src", "e_dst")
+
+
+def coherence_violations(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between known items that the gates on category, gender and formality don't allow."""
+    one = items.select(F.col("item_id").alias("src_id"), F.col("gender").alias("g1"), formality_rank(F.col("formality")).alias("r1"), F.col("category").alias("c1"))
+    two = items.select(F.col("item_id").alias("dst_id"), F.col("gender").alias("g2"), formality_rank(F.col("formality")).alias("r2"), F.col("category").alias("c2"))
+    both = edges.join(one, "src_id").join(two, "dst_id")
+    goes = F.array_contains(_partners(F.col("c1"), complements()), F.col("c2"))
+    gender = (F.col("g1") == F.col("g2")) | (F.col("g1") == "unisex") | (F.col("g2") == "unisex")
+    loose = ~F.col("c1").isin(*FORMALITY_RELEVANT) | ~F.col("c2").isin(*FORMALITY_RELEVANT) | F.col("r1").isNull() | F.col("r2").isNull()
+    return both.where(~(goes & gender & (loose | (F.abs(F.col("r1") - F.col("r2")) <= 1)))).select(edges.columns)
+
+
+def rank_completions(contexts: DataFrame, edges: DataFrame, category: str, k: int) -> DataFrame:
+    """For each context (key, items) its first k items of a category by mean weight and then id: (key, place, partner_id).
+
+    A completion has an edge to every item of the context and is none of them.
+    """
+    member = contexts.select("key", F.size("items").alias("n"), "items", F.explode("items").alias("item_id"))
+    links = directed(edges).where(F.col("partner_category") == category).select("item_id", "partner_id", F.bround(F.col("weight") * 1_000_000).cast("bigint").alias("micro"))
+    met = member.join(links, "item_id").where(~F.array_contains("items", F.col("partner_id")))
+    full = met.groupBy("key", "partner_id").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.sum("micro").alias("total")).where("met = n")
+    order = W.partitionBy("key").orderBy(F.desc("total"), "partner_id")
+    return full.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("key", "place", "partner_id")
 
 
 def graph_report(items: DataFrame, edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ EDGES = f"""base as (select *, list_position(['athletic','casual','smart_casual'
 comp as (select * from (values {_PAIRS}) v(a, b)),
 cand as (select x.item_id as src, y.item_id as dst, x.category as sc, y.category as dc,
   round_even(least(greatest(0.4 * (1.0 - abs(x.rnk - y.rnk) / 3.0) + 0.35 * (case when x.color = y.color then 1.0 else 0.4 end)
-    + 0.25 * (least(x.price, y.price)::double / greatest(x.price, y.price)::double), 0.0), 1.0), 6) as weight
+    + 0.25 * (least(x.price, y.price)::double / greatest(x.price, y.price)::double), 0.0), 1.0)::decimal(18, 16), 6)::double as weight
   from base x join comp on x.category = comp.a join base y on y.category = comp.b and x.item_id <> y.item_id
   where (x.gender = y.gender or x.gender = 'unisex' or y.gender = 'unisex')
     and (x.category in ('bag','accessory') or y.category in ('bag','accessory') or abs(x.rnk - y.rnk) <= 1)),
@@ -60,7 +60,7 @@ select p.item_id, p.partner_id, 'OF_' || substr(sha1(unhex('6ba7b8119dad11d180b4
 from p join offer a on a.item_id = p.item_id join offer b on b.item_id = p.partner_id""")
 def recommend_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: each top with its best bottom in stock, priced, with a stable id."""
-    edges = graph.build_edges(catalog(spark, sf_dir))
+    edges = graph.build_edges(catalog(spark, sf_dir), pairs=graph.complements(("top", "bottom")))
     best = graph.best_partners(edges, "top", "bottom")
     offer = links(spark, sf_dir).where("in_stock").groupBy("item_id").agg(F.min("price").alias("offer_price"))
     other = offer.select(F.col("item_id").alias("partner_id"), F.col("offer_price").alias("partner_price"))
