@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.vocab import FORMALITIES, SIZES
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def to_int_price(raw: Column) -> Column:
+    """A price as a whole number: "299,000", "299000.00" or 299000; null if it is none or not above 0."""
+    number = F.bround(F.replace(raw, F.lit(","), F.lit("")).try_cast("double"))
+    return F.when((number > 0) & (number < 1e18), number.cast("bigint"))
+
+
 def domain(value: Column, allowed: tuple[str, ...], fallback: str | None) -> Column:
     """value if it is in the domain, else the fallback."""
     return F.when(value.isin(*allowed), value).otherwise(F.lit(fallback))

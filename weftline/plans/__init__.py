@@ -1 +1 @@
-"""Plans of the library."""
+"""Registered queries of the library."""

@@ -9,6 +9,7 @@ from weftline.functions import expressions as ex
 from weftline.functions.vocab import COMPLEMENTS
 from weftline.operators import catalog as cat
 from weftline.operators import corpus, graph, metrics, outfits
+from weftline.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from weftline.sources.tables import catalog, dialogues, links, table
 
 _CATEGORIES = "['top','bottom','dress','outerwear','shoes','bag','accessory']"
@@ -34,20 +35,6 @@ edges as (select least(src, dst) as src_id, greatest(src, dst) as dst_id, case w
 DIALOGUES = """d as (select conv_id, arg_min(text, turn) filter (role = 'user' and text is not null) as prompt,
   arg_min(text, turn) filter (role = 'assistant' and text is not null) as answer, count(*) as turns from conversations group by 1)"""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query(f"""with {CATALOG}, {LINKS}, {EDGES}, both_ways as (
   select src_id as item_id, src_category as c, dst_id as partner_id, dst_category as pc, weight from edges union all
   select dst_id, dst_category, src_id, src_category, weight from edges),
