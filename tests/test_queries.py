@@ -5,9 +5,11 @@ import math
 import duckdb
 import pytest
 
-from weftline.plans.queries import ORACLE_SQL, QUERIES
+from __spark_entry__ import queries as every_query
+from weftline.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
+assert every_query()  # importing the entry registers all queries
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.expressions import outfit_tier, stable_id
 from weftline.operators.graph import directed
+from weftline.sources.shared import written
 
 #: Categories that may be added to an outfit's base, in this order. Fixed values.
 OPTIONAL = ("shoes", "outerwear", "bag", "accessory")
@@ -25,15 +26,15 @@ def _extended(outfits: DataFrame, ranked: DataFrame, category: str, max_optional
     Partners are joined by seed and looked up by edge, so no more rows arise than an item has partners of one category.
     """
     own = ranked.where(F.col("partner_category") == category).select(F.col("item_id").alias("own_seed"), F.col("partner_id").alias("cand"), F.col("place").alias("cand_place"))
-    keys = ["seed", "base_place", "items", "total", "added"]
-    tried = outfits.join(own, (F.col("seed") == F.col("own_seed")) & (F.col("added") < max_optional), "left")
-    member = tried.select(*keys, "cand", "cand_place", F.explode("items").alias("member"))
+    # (seed, base_place) tells an outfit; its other columns ride along
+    keys = ["seed", "base_place"]
+    tried = outfits.where(F.col("added") < max_optional).join(own, F.col("seed") == F.col("own_seed"))
+    member = tried.select(*keys, F.size("items").alias("n"), "cand", "cand_place", F.explode("items").alias("member"))
     links = ranked.select(F.col("item_id").alias("member"), F.col("partner_id").alias("cand"), F.col("micro").alias("link"))
-    met = member.join(links, ["member", "cand"], "left").groupBy(*keys, "cand", "cand_place").agg(F.count("link").alias("met"), F.sum("link").alias("gain"))
-    fits = F.col("met") == F.size("items")
-    best = met.groupBy(*keys).agg(F.min_by(F.struct("cand", "gain"), F.when(fits, F.col("cand_place"))).alias("best"))
+    met = member.join(links, ["member", "cand"]).groupBy(*keys, "cand", "cand_place").agg(F.count("link").alias("met"), F.sum("link").alias("gain"), F.first("n").alias("n"))
+    best = met.where("met = n").groupBy(*keys).agg(F.min_by(F.struct("cand", "gain"), "cand_place").alias("best"))
     found = F.col("best").isNotNull()
-    return best.select(
+    return outfits.join(best, keys, "left").select(
         "seed",
         "base_place",
         F.when(found, F.concat("items", F.array("best.cand"))).otherwise(F.col("items")).alias("items"),
@@ -46,21 +47,21 @@ def assemble(seeds: DataFrame, edges: DataFrame, beam: int = 3, max_optional: in
     """(seed, items, score): outfits grown from seeds (item_id, category).
 
     A top starts with each of its first `beam` bottoms, a dress alone; other seeds give nothing. The score is the mean
-    weight of all pairs, summed as integers; a dress without company has 0. Of outfits with the same items one stays. The ranked edges are
-    read by every step, so they are persisted (on disk if memory is short); lost blocks are computed again.
+    weight of all pairs, summed as integers; a dress without company has 0. Of outfits with the same items one stays. The ranked edges
+    and the outfits of each step are read more than once, so they are tables in the shared folder.
     """
-    ranked = ranked_partners(edges).persist()
+    ranked = written(ranked_partners(edges), "ranked_partners")
     tops = seeds.where("category = 'top'").select(F.col("item_id").alias("seed"))
     bottoms = ranked.where((F.col("partner_category") == "bottom") & (F.col("place") <= max(1, beam))).select(F.col("item_id").alias("seed"), "partner_id", "place", "micro")
     first = tops.join(bottoms, "seed").select("seed", F.col("place").alias("base_place"), F.array("seed", "partner_id").alias("items"), F.col("micro").alias("total"), F.lit(0).alias("added"))
     alone = seeds.where("category = 'dress'").select(F.col("item_id").alias("seed"), F.lit(1).alias("base_place"), F.array("item_id").alias("items"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("added"))
     grown = first.unionByName(alone)
     for category in OPTIONAL:
-        grown = _extended(grown, ranked, category, max_optional)
+        grown = _extended(written(grown, "outfits"), ranked, category, max_optional)
     pairs = F.size("items") * (F.size("items") - 1) / 2
     scored = grown.withColumn("score", F.when(pairs > 0, F.bround(F.col("total") / pairs / 1_000_000, 6)).otherwise(0.0))
     one = W.partitionBy(F.array_sort("items")).orderBy(F.desc("score"), "seed", "base_place")
-    return scored.withColumn("_r", F.row_number().over(one)).where("_r = 1").select("seed", "items", "score")
+    return scored.withColumn("rank", F.row_number().over(one)).where("rank = 1").select("seed", "items", "score")
 
 
 def records(outfits: DataFrame, items: DataFrame) -> DataFrame:
