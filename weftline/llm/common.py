@@ -16,14 +16,15 @@ SCAN_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; a folder of our own only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: from spark.checkpoint.dir, else the checkpoint folder of the context; only a local session without either gets one of ours."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    own = "/tmp/checkpoints/weftline"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(own)
-    return f"file://{own}"
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all machines share")
+    sc.setCheckpointDir("/tmp/checkpoints/weftline")
+    return sc.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
