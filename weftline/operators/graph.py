@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.expressions import formality_rank, pair_score
 from weftline.functions.vocab import COMPLEMENTS, FORMALITY_RELEVANT
+from weftline.sources.shared import written
 
 
 #: Price buckets of an octave: the unit in which a class is ordered.
@@ -139,7 +140,8 @@ def canonical(directed: DataFrame) -> DataFrame:
 
 
 def extend_edges(items: DataFrame, edges: DataFrame, k: int = 15) -> DataFrame:
-    """Incremental build: items without any edge become anchors; edges that exist stay as they are."""
+    """Incremental build: items without any edge become anchors; edges that exist stay as they are. The old edges are read more than once, so they are written as a table first."""
+    edges = written(edges, "edges")
     known = edges.select(F.col("src_id").alias("item_id")).unionAll(edges.select("dst_id")).distinct()
     new = build_edges(items, k, items.join(known, "item_id", "left_anti"))
     return edges.unionByName(new.join(edges, ["src_id", "dst_id"], "left_anti").select(edges.columns))

@@ -10,6 +10,7 @@ from weftline.operators import graph, recommend, tags
 from weftline.plans.ingest import _in, _list
 from weftline.plans.queries import CATALOG, EDGES
 from weftline.plans.registry import query
+from weftline.sources.shared import written
 from weftline.sources.tables import catalog, pick
 
 _STYLE_WORDS = (*STYLES, "classic")
@@ -158,6 +159,6 @@ met as (select key, b, count(*) as met, sum(round_even(weight * 1000000, 0)::big
 select key, place, b as partner_id from (select *, row_number() over (partition by key order by total desc, b) as place from met where met = 2) where place <= 5""")
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shoes that complete each top with its best bottom."""
-    edges = graph.build_edges(catalog(spark, sf_dir))
+    edges = written(graph.build_edges(catalog(spark, sf_dir)), "edges")
     pairs = graph.best_partners(edges, "top", "bottom").select(F.col("item_id").alias("key"), F.array("item_id", "partner_id").alias("items"))
     return graph.rank_completions(pairs, edges, "shoes", 5)
