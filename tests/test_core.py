@@ -134,3 +134,16 @@ def test_dialogue_edges(spark):
     assert text == '<tool_call>{"name":"search_outfits","arguments":{"occasion":"office"}}</tool_call>'
     got = row.select(dialogue.text_call_errors(F.lit(text)), dialogue.call_f1(F.lit(text), F.lit("none")), dialogue.text_similarity(F.lit(""), F.lit("a")), dialogue.text_similarity(F.lit("a a b"), F.lit("A c")), dialogue.judge(F.lit(None).cast("array<struct<role:string,content:string>>"), F.lit("t"))).first()
     assert tuple(got) == ([], None, 0.0, 0.4, ["invalid_message_shape"])
+
+
+def test_answer_scorers(spark):
+    from weftline.operators import scorers
+
+    good = '<tool_call>{"name":"search_outfits","arguments":{"occasion":"office","style":"casual"}}</tool_call>'
+    half = good.replace("casual", "korean")
+    bad = good.replace("casual", "odd")
+    cases = [(good, good, True), (half, good, True), (bad, good, False), ("không phù hợp", good, False), ("phù hợp", "no call", True)]
+    rows = spark.createDataFrame(cases, "text string, reference string, coherent boolean")
+    got = rows.select(scorers.derivation_score(F.col("text"), F.col("reference")), scorers.coherence_score(F.col("text"), F.col("coherent"))).collect()
+    assert [r[0] for r in got] == [1.0, 0.6667, 0.0, 0.0, 0.0]
+    assert [r[1] for r in got[3:]] == [1.0, 1.0]
