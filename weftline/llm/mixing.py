@@ -66,29 +66,37 @@ def _mixed(docs: DataFrame, keep: list[str], id_col: str, text_col: str, source_
     """Rows (kept struct of the columns to keep, size, source_size, target, copies)."""
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs[id_col].cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("long")
     text = docs[text_col]
+    size = n_words(text)
     rows = docs.select(
         F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(keep)]).alias("kept"),
         docs[id_col].alias("id"),
         docs[source_col].alias("source"),
-        n_words(text).alias("size"),
+        size.alias("size"),
         draw.alias("draw"),
         F.xxhash64(text).alias("tie"),
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = rows.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")))).otherwise(-1).cast("int"))
-    sizes = written(rows if keep == [id_col] else rows.drop("kept"), "sizes")
-    expected = written(_expected(sizes, source_targets(sizes, weights, cap), cap, power), "expected_copies")
-    cuts = written(_cuts(_ranked(sizes, expected)), "cuts").withColumnRenamed("source", "cut_source")
-    ranked = _ranked(sizes if keep == [id_col] else rows, expected)
-    placed = ranked.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")))
-    out = ["kept", "size", "source_size", "target", "copies"]
+    # words are counted once; the table as written fixes the row numbers, so the cut is found on narrow rows
+    rows = written(rows, "sizes")
+    narrow = rows.drop("kept")
+    expected = written(_expected(narrow, source_targets(narrow, weights, cap), cap, power), "expected_copies")
+    cuts = written(_cuts(_ranked(narrow, expected)), "cuts").withColumnRenamed("source", "cut_source")
     at_cut = F.col("range").eqNullSafe(F.col("at"))
-    sure = placed.where(~at_cut).withColumn("copies", F.col("whole") + F.when((F.col("p") > 0) & (F.col("range") <= F.col("below")), 1).otherwise(0))
     counted = F.when(F.col("p") > 0, F.col("size")).otherwise(0)
-    order = W.partitionBy("source").orderBy("rank", "id", "size", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("source").orderBy("rank", "id", "size", "tie", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
     # the document at the cut is taken if at least half of it is needed
-    edge = placed.where(at_cut).withColumn("reach", F.col("had") + F.sum(counted).over(order))
-    edge = edge.withColumn("copies", F.col("whole") + F.when((F.col("p") > 0) & (F.col("reach") - counted / 2.0 <= F.col("need")), 1).otherwise(0))
-    return sure.select(out).unionAll(edge.select(out)).withColumn("copies", F.col("copies").cast("long"))
+    edge = _placed(narrow, expected, cuts).where(at_cut).withColumn("reach", F.col("had") + F.sum(counted).over(order))
+    edge = edge.where((F.col("p") > 0) & (F.col("reach") - counted / 2.0 <= F.col("need")))
+    edge = written(edge.select(F.col("row").alias("edge_row")), "taken_at_cut")
+    placed = _placed(rows, expected, cuts).join(edge, at_cut & (F.col("row") == F.col("edge_row")), "left")
+    more = F.when(at_cut, F.col("edge_row").isNotNull()).otherwise((F.col("p") > 0) & (F.col("range") <= F.col("below")))
+    return placed.select("kept", "size", "source_size", "target", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("long").alias("copies"))
+
+
+def _placed(rows: DataFrame, expected: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Ranked rows with their source's cut."""
+    return _ranked(rows, expected).join(cuts, F.col("source").eqNullSafe(F.col("cut_source")))
 
 
 def _ranked(rows: DataFrame, expected: DataFrame) -> DataFrame:
