@@ -147,3 +147,33 @@ def test_answer_scorers(spark):
     got = rows.select(scorers.derivation_score(F.col("text"), F.col("reference")), scorers.coherence_score(F.col("text"), F.col("coherent"))).collect()
     assert [r[0] for r in got] == [1.0, 0.6667, 0.0, 0.0, 0.0]
     assert [r[1] for r in got[3:]] == [1.0, 1.0]
+
+
+def test_balanced_selection(spark):
+    from weftline.operators import selection
+
+    rows = [("a", "mid", 400_000, 0.5), ("b", "mid", 300_000, 0.5), ("c", "premium", 900_000, 0.9), ("c", "premium", 900_000, 0.1), ("d", None, None, None)]
+    found = spark.createDataFrame(rows, "outfit_id string, price_tier string, price_total long, score double")
+    got = [tuple(r) for r in selection.select_balanced(found, {"budget": 1, "mid": 1, "premium": 5}).select("outfit_id", "chosen", "score").collect()]
+    assert sorted(got, key=repr) == sorted([("b", "quota", 0.5), ("c", "quota", 0.9), ("a", "fill", 0.5), ("d", "fill", None), ("c", "repeat", 0.9), ("b", "repeat", 0.5), ("a", "repeat", 0.5)], key=repr)
+    assert selection.select_balanced(found.limit(0), {"mid": 2}).count() == 0
+    assert [r["score"] for r in selection.rescored(found, F.col("score") * 2, 0.9).collect()] == [1.0, 1.0, 1.0]
+
+
+def test_audit_of_odd_rows(spark):
+    from weftline.operators import audit
+
+    columns = "item_id string, category string, store_id string, title string, body_shapes string, seasons string, colors string, note string, n long"
+    rows = [(None,) * 9, ("i", "bag", "", None, "[1, null]", "NaN", "[", "Áo " + "x" * 200_000, 1)] + [("same", "top", "s", "t", '["pear"]', '["summer"]', '["a"]', "n", 2)] * 12
+    found = audit.audited(spark.createDataFrame(rows, columns))
+    flags = audit.semantic_flags(found)
+    by = {(r["item_id"], r["rule_id"]) for r in flags.collect()}
+    assert by == {(None, "fallback_note_review"), ("same", "repeated_generic_note"), ("i", "note_category_mismatch")}
+    bad = {(r["item_id"], r["field"], r["reason"], r["evidence"]) for r in audit.invalid_tags(found).collect()}
+    assert bad == {(None, "note", "empty_note", ""), ("i", "body_shapes", "invalid_body_shape", "1"), ("i", "colors", "invalid_json_list", "[")}
+    assert [r["outlier_type"] for r in audit.outliers(found).collect()] == ["long_note"]
+    assert {r["item_id"] for r in audit.review_sample(found, flags, per_category=1).collect()} >= {"i", "same"}
+    empty = audit.audited(spark.createDataFrame([], columns))
+    assert audit.review_sample(empty, audit.semantic_flags(empty)).count() == audit.invalid_tags(empty).count() == 0
+    text = spark.createDataFrame([("{oops",), (None,)], "t string")
+    assert [r["x"] is None for r in text.select(audit.sanitize_tags(F.col("t")).alias("x")).collect()] == [True, False]
