@@ -123,6 +123,28 @@ def test_op2(spark, sf):
     assert result(spark, sf, "op2_simhash", "doc_id", "fingerprint", "component_id") == sorted(want, key=key)
 
 
+def plain_draw(docs, target):
+    """(doc_id, size, words taken) by drawing each source's documents in a list; docs are (doc_id, size)."""
+    w = [2.0 ** (math.floor(math.log2(n)) * 0.125) if n else 0.0 for _, n in docs]
+    low, high = 0.0, 3.0 / min((x for x in w if x), default=1.0)
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (low, c) if sum(min(3.0, c * x) * n for x, (_, n) in zip(w, docs, strict=True)) > target else (c, high)
+    drawn = []
+    for x, (k, n) in zip(w, docs, strict=True):
+        copies = min(3.0, high * x)
+        whole = math.floor(copies + 1e-9)
+        p = max(copies - whole, 0.0) if copies - whole > 1e-9 else 0.0
+        u = (int(hashlib.md5(f"17:{'null' if k is None else k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        odds = u / (1 - u) / (p / (1 - p)) if p else math.inf
+        drawn.append((odds, k or 0, n, k, whole, p))
+    need, reach, out = target - sum(d[2] * d[4] for d in drawn), 0, []
+    for _, _, n, k, whole, p in sorted(drawn, key=lambda d: d[:3]):
+        reach += n if p else 0
+        out.append((k, n, n * (whole + bool(p and reach - n / 2 <= need))))
+    return out
+
+
 def test_op3(spark, sf):
     docs = rows(spark, sf, "documents")
     sizes = Counter()
@@ -156,6 +178,10 @@ def test_op3(spark, sf):
         biggest[d["source"]] = max(biggest[d["source"]], len(WORD.findall(d["text"] or "")))
     for s in order:
         assert abs(taken[s] - target[s]) <= biggest[s], s
+    want = []
+    for s in order:
+        want += plain_draw([(d["doc_id"], len(WORD.findall(d["text"] or ""))) for d in docs if d["source"] == s], target[s])
+    assert sorted(((r["doc_id"], r["size"], r["taken"]) for r in got), key=key) == sorted(want, key=key)
     again = queries.QUERIES["op3_mixing"](spark, sf).collect()
     assert sorted(map(key, got)) == sorted(map(key, again))
 
