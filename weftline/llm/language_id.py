@@ -13,7 +13,8 @@ texts throughout). Training documents have an id with crc32 modulo 5 not 0, a la
 Scoring covers all documents, whole texts.
 
 A text that is null or has no letter is "und" with score 0, as is all text if nothing could be learned. A
-null id is never used for learning, and is not held out. Repeated rows stay. Ties between languages go to
+null id is never used for learning, and is not held out. Repeated rows stay; of rows that share an id one is learned
+from, that with the least hash of its text. An empty table gives no rows. Very long texts are scored whole. Ties between languages go to
 the first by name. The score is the winner's regression value moved from -1..1 to 0..1.
 """
 
@@ -28,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches
+from weftline.llm.common import small_batches, written
 
 MAX_N = 4
 SAMPLE, LANDMARKS, MAX_CHARS = 300, 40, 20_000
 RIDGE, JITTER = 1e-3, 1e-6
+#: Parts of a language's documents that are ranked apart before the best of them are ranked together.
+SLOTS = 64
 FOLDS = 5
 UNKNOWN = "und"
 #: Cells of a batch's 0/1 matrix.
@@ -123,11 +126,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, max_c
     """Learn from rows (doc_id, lang, text); None if there is nothing to learn from."""
     spark = docs.sparkSession
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.char_length("text") <= max_chars) & has_letter(F.col("text")) & ~held_out(F.col("doc_id")))
-    order = W.partitionBy("lang").orderBy("h", "doc_id")
-    ranked = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("rank", F.row_number().over(order))
-    chosen = ranked.where(F.col("rank") <= sample).select("doc_id", F.col("lang").alias("chosen_lang"), "rank")
+    # one row an id, told by the hash of its text, so that rows that share an id count once
+    narrow = usable.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("t"), "lang")).alias("one")).select("doc_id", "one.lang", "one.t", F.xxhash64("doc_id").alias("h"))
+    # first the best of each slot of a language, then the best of those: no language's rows meet in one task
+    for keys in (["lang", "slot"], ["lang"]):
+        order = W.partitionBy(*keys).orderBy("h", "doc_id")
+        narrow = narrow.withColumn("slot", F.pmod(F.col("h"), F.lit(SLOTS))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+    chosen = narrow.select("doc_id", "lang", "t", "rank")
     chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # at most `sample` ids for each language
-    train = usable.join(F.broadcast(chosen), ["doc_id"]).where("lang = chosen_lang").select("doc_id", "lang", "rank", "text")
+    train = usable.withColumn("t", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "lang", "t"])
+    train = train.groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text"))  # equal rows are one
+    train = written(train.select("doc_id", "lang", "rank", "text"), "language_sample")  # bounded by `sample` and `max_chars`
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
