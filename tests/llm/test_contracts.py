@@ -33,6 +33,18 @@ def odd_rows():
     return rows
 
 
+def odd_vectors():
+    """Lengths 0 to 5, nulls, repeats, ties, large components, ids that are null, negative or repeated."""
+    rng = random.Random(9)
+    vectors = [(k * 20, [rng.uniform(-1, 1) for _ in range(4)]) for k in range(60)]
+    same = [0.5, -0.25, 0.125, 0.0]
+    vectors += [(k, same) for k in range(1, 40)] + [(100, same), (100, same), (200, [0.1, 0.2, 0.3, 0.4]), (None, same), (None, [9.0, 9.0, 9.0, 9.0])]
+    vectors += [(300, None), (301, []), (400, []), (302, [0.1, None, 0.2, 0.3]), (500, [math.nan, 0.0, 0.0, 0.0]), (501, [math.inf, 1.0, 1.0, 1.0])]
+    vectors += [(-100, [1.0, -1.0]), (-3, [0.3, 0.1, 0.2, -0.4, 0.9]), (600, [3e5, -2e5, 1e5, 4e5]), (601, [3e5 + 0.125, -2e5, 1e5, 4e5]), (700, [0.0, 0.0, 0.0, 0.0])]
+    rng.shuffle(vectors)
+    return [(i, v, 1, "clash") for i, v in vectors]
+
+
 @pytest.fixture(scope="module")
 def odd_dir(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("odd"))
@@ -41,6 +53,7 @@ def odd_dir(spark, tmp_path_factory):
     spark.createDataFrame([(*t, "clash") for t in turns], "conv_id bigint, turn bigint, role string, text string, formatted string").write.parquet(f"{d}/conversations.parquet")
     pages = [(1, "http://a/\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", ""), (4, "u", None), (5, "v", "one"), (5, "v", "one"), (5, "v", "two"), (9, "v", "one"), (10, "v", "two"), (None, "w", "one"), (None, "w", "three"), (None, "w", None), (6, "z", "x" * 300_000)]
     spark.createDataFrame([(*p, "clash") for p in pages], "page_id bigint, url string, html string, payload_digest string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame(odd_vectors(), "vec_id bigint, embedding array<double>, label int, score string").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -50,6 +63,7 @@ def empty_dir(spark, tmp_path_factory):
     spark.createDataFrame([], DOCS).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{d}/pages.parquet")
     spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -576,3 +590,184 @@ def test_token_file_access(spark, tmp_path):
         assert token_files.read_document(f, index, 3, z).tolist() == whole[int(index[3, 0])]
         with pytest.raises(ValueError):
             token_files.decompressor(f, b"other")
+
+
+def test_op1_repeated_ids(spark):
+    """Rows that share an id: one of them is learned from, so the sample stays bounded."""
+    from weftline.llm import language_id
+
+    known = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    same = [(1, f"the same id {k % 500} and some more words", "en") for k in range(1000)] + [(2, "noch ein Text", "de")] * 300
+    docs = known.where("doc_id > 2").unionByName(spark.createDataFrame(same, "doc_id bigint, text string, lang string"))
+    model = language_id.fit(docs)
+    assert model.marks.shape[1] <= language_id.LANDMARKS * len(model.languages)
+    got = language_id.identify(docs).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in got}[1] == 1000
+
+
+def usable_vectors(spark, sf):
+    out = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in rows(spark, sf, "embeddings") if r["embedding"] is not None and None not in r["embedding"]]
+    out = [(i, v) for i, v in out if all(map(math.isfinite, v))]
+    most = max(len(v) for _, v in out)
+    return [(i, v + [0.0] * (most - len(v))) for i, v in out]
+
+
+def plain_topk(vectors, k=10):
+    whole = [[math.floor(1024 * c) for c in v] for _, v in vectors]
+    out = []
+    for r, (q, _) in enumerate(vectors):
+        if q is not None and q % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(whole[r], w, strict=True)), i is None, i or 0) for c, ((i, _), w) in enumerate(zip(vectors, whole, strict=True)) if c != r)
+            out += [(q, n + 1, None if no_id else i, -s) for n, (s, no_id, i) in enumerate(scored[:k])]
+    return out
+
+
+def test_op11(spark, sf):
+    got = result(spark, sf, "op11_exact_topk", "query_id", "rank", "vec_id", "score")
+    assert got == sorted(plain_topk(usable_vectors(spark, sf)), key=key)
+
+
+def test_topk_stops_before_the_end_of_the_lists(spark):
+    """Small blocks and groups, few rows, k above the number of candidates, scores beyond 2^53; a clear winner ends a race early."""
+    from weftline.llm import topk
+
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.normal(size=(400, 3))) ** 4 * rng.choice([1, 1, -1], size=(400, 3))
+    vectors = [(k, v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search(df, df.where("vec_id % 100 = 0"), k=3, cells=60).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == sorted(plain_topk(vectors, 3))
+    large = [(k * 100, [float(rng.integers(-(2**20), 2**20)) for _ in range(3)]) for k in range(5)]
+    df = spark.createDataFrame(large, "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search(df, df, k=50).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == sorted(plain_topk(large, 50)) and max(abs(g[3]) for g in got) > 2**53
+
+    depths = []
+    race = topk._Race(2)
+    race.add_queries(2, np.array([7], np.int64).tobytes(), np.array([[1.0, -1.0]]).tobytes())
+    race.begin()
+    n = 1000
+    block = np.zeros((n, 2))
+    block[:, 0] = np.arange(n)
+    block[:, 1] = -block[:, 0]
+    settle = race._settle
+    race._settle = lambda some, of, score, no_id, ids: (depths.append(len(score)), settle(some, of, score, no_id, ids))
+    places = np.argsort(block, axis=0).T
+    race.meet(2, np.arange(n).tobytes(), np.zeros(n, bool).tobytes(), np.take_along_axis(block.T, places, 1).astype("<f8").tobytes(), places.astype("<u4").tobytes())
+    assert race.id.tolist() == [[n - 1, n - 2]] and 0 < sum(depths) < 20  # outsiders were never scored
+
+
+def test_op12(spark, sf):
+    got = queries.QUERIES["op12_whitening"](spark, sf).collect()
+    vectors = usable_vectors(spark, sf)
+    x = np.array([[math.floor(1024 * c) + 100_000 for c in v] for _, v in vectors], float)
+    n, sums = len(x), [sum(map(int, c)) for c in x.T]
+    centred = x - np.array([s / n for s in sums])
+    v = centred.T @ centred / n
+    value, vector = np.linalg.eigh(v)
+    order = np.argsort(-value)[:8]
+    k = len(order)
+    white = centred @ vector[:, order] / np.sqrt(value[order])
+    deviation = [sum((n * int(c) - s) ** 2 for c, s in zip(row, sums, strict=True)) for row in x]
+    deviation = [d if d < 2**63 else None for d in deviation]
+    assert len(got) == n * k and {r["n"] for r in got} == {n}
+    assert {(r["component"], round(r["explained"], 12)) for r in got} == {(c + 1, round(value[order[c]] / np.trace(v), 12)) for c in range(k)}
+    assert len({r["identity_error"] for r in got}) == 1 and got[0]["identity_error"] < 1e-4
+    assert sorted(((r["vec_id"], r["deviation"]) for r in got if r["component"] == 1), key=key) == sorted(((i, d) for (i, _), d in zip(vectors, deviation, strict=True)), key=key)
+    for c in range(k):
+        own = np.array([w for _, w in sorted((((r["vec_id"], r["deviation"]), r["whitened"]) for r in got if r["component"] == c + 1), key=lambda p: key(p[0]))])
+        want = np.array([w for _, w in sorted((((i, d), w) for (i, _), d, w in zip(vectors, deviation, white[:, c], strict=True)), key=lambda p: key(p[0]))])
+        assert min(np.abs(own - want).max(), np.abs(own + want).max()) < (1e-9 + 1e-16 * value.max() / value[order[c]]) * max(1, np.abs(want).max())  # rounding as the eigenvalues' ratio allows
+
+
+def test_whitening_merges_and_flat_directions(spark):
+    from weftline.llm import whitening
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 4)) + 1e6
+    parts = [whitening.summary(x[a:b]) for a, b in ((0, 1), (1, 7), (7, 50))]
+    s = whitening.merged(whitening.merged(parts[2], None), whitening.merged(parts[0], parts[1]))
+    assert s.n == 50 and np.allclose(s.scatter, np.cov(x.T, bias=True) * 50, rtol=1e-9) and np.allclose(s.mean, x.mean(axis=0), rtol=1e-12)
+    df = spark.createDataFrame([(1, [0.5, 0.25]), (2, [0.5, 0.75]), (3, [0.5, 0.5]), (4, None)], "vec_id int, embedding array<float>")
+    got = whitening.whiten(df).collect()
+    assert len(got) == 6 and {r["whitened"] for r in got if r["component"] == 2} == {0.0} and got[0]["identity_error"] < 1e-9
+    assert df.schema["vec_id"].dataType == whitening.whiten(df).schema["vec_id"].dataType
+    one = whitening.whiten(df.where("vec_id = 1")).collect()
+    assert len(one) == 2 and {(r["whitened"], r["explained"], r["deviation"], r["identity_error"]) for r in one} == {(0.0, 0.0, 0, 0.0)}
+    model = whitening.Whitening(3 * 10**9, [0], np.zeros(1), np.ones((1, 1)), np.ones(1), np.ones(1, bool))
+    assert model.deviations(np.array([[1.0], [2.0]])) == [9 * 10**18, None]
+
+
+def plain_manifest(docs):
+    def h(*parts):
+        return sha("".join(parts))
+
+    def field(x):
+        return "-" if x is None else f"{len(str(x).encode())}:{x}"
+
+    def up(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([h(*levels[-1][a : a + 16]) for a in range(0, len(levels[-1]), 16)])
+        return levels
+
+    def path(levels, place):
+        out = []
+        for nodes in levels[:-1]:
+            first = place // 16 * 16
+            out.append((nodes[first:place], nodes[place + 1 : first + 16]))
+            place //= 16
+        return out
+
+    by = defaultdict(list)
+    for d in docs:
+        leaf = h(*[field(d[c]) for c in ("doc_id", "source", "lang", "n_chars", "text")])
+        hit = d["doc_id"] is not None and d["text"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 5 == 0
+        changed = d | {"text": re.sub("[A-Z]", lambda m: m[0].lower(), d["text"])} if hit else d
+        by[d["source"]].append((d["doc_id"] is not None, d["doc_id"] or 0, leaf, h(*[field(changed[c]) for c in ("doc_id", "source", "lang", "n_chars", "text")])))
+    order = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: up([leaf for _, _, leaf, _ in sorted(by[s])]) for s in order}
+    top = up([trees[s][-1][0] for s in order])
+    out = []
+    for k, s in enumerate(order):
+        for place, (known, doc_id, leaf, changed) in enumerate(sorted(by[s])):
+            steps = path(trees[s], place) + path(top, k)
+            own = changed
+            for left, right in steps:
+                own = h(*left, own, *right)
+            out.append((doc_id if known else None, leaf, trees[s][-1][0], top[-1][0], h(*[x for left, right in steps for x in left + right]), own, own == top[-1][0]))
+    return out
+
+
+MANIFEST = ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def test_op13(spark, sf):
+    got = result(spark, sf, "op13_merkle_manifest", *MANIFEST)
+    assert got == sorted(plain_manifest(rows(spark, sf, "documents")), key=key)
+    assert {g[-1] for g in got} == {True, False}
+
+
+def test_manifest_of_many_sources_and_levels(spark, tmp_path):
+    """Sources of 1, 16, 17, 256 and 300 rows, equal rows, and a tree over more than 16 sources."""
+    from weftline.llm import manifest
+
+    sizes = {None: 1, "": 2, "a": 16, "b": 17, "hot": 300, "z": 256} | {f"s{k}": 1 for k in range(40)}
+    docs = [{"doc_id": k * 7 % 1000, "source": s, "lang": None, "n_chars": k, "text": f"Text {k} of {s}"} for s, n in sizes.items() for k in range(n)]
+    docs += [dict(docs[50])] * 3
+    df = spark.createDataFrame([tuple(d.values()) for d in docs], "doc_id bigint, source string, lang string, n_chars bigint, text string")
+    got = sorted((tuple(r[c] for c in MANIFEST) for r in manifest.build(df.repartition(7)).collect()), key=key)
+    assert got == sorted(plain_manifest(docs), key=key)
+    one = manifest.build(df.where("source = 's3'")).first()
+    assert one["root"] == one["subroot"] == one["leaf"] and one["proof_sha256"] == sha("")
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    assert result(spark, SF, name, *want.columns) == sorted(map(tuple, want.fetchall()), key=key)
