@@ -11,8 +11,8 @@ what it has heard from above, and the siblings of the child. At the leaves that
 to the root.
 
 What a parent heard is a table in the shared folder, by level, so a lost executor loses no step. A key is one parent, with
-FAN children at most, so no source meets in one task. Of the whole tree the driver sees two sources and two counts a
-partition of the sorted leaves, and the number of nodes that still climb.
+FAN children at most, so no source meets in one task. Of the whole tree the driver sees two sources and three counts a
+partition of the sorted leaves.
 
 An empty table has no rows. Null fields count as `-`. Rows that repeat are leaves each, next to each other. Texts of any
 length are hashed whole by Spark. Other columns are left out, so their names can't clash. tampered is what a row's leaf
@@ -58,26 +58,27 @@ def leaves(docs: DataFrame) -> DataFrame:
 # Nodes are ((tree, place), (digest, is_last, load)); load is what a leaf carries along, null above.
 
 
-def numbered(ordered: RDD) -> RDD:
-    """(tree, digest, load) sorted by tree to nodes: the place within the tree, and whether it is the tree's last."""
+def numbered(spark: SparkSession, ordered: RDD) -> tuple[RDD, int]:
+    """(tree, digest, load) sorted by tree to nodes, with the place within the tree and whether it is the tree's last; and the size of the largest tree."""
 
     def ends(at: int, rows: Iterator) -> Iterator:
-        first, last, n, run = None, None, 0, 0
+        first, last, n, run, longest = None, None, 0, 0, 0
         for tree, _, _ in rows:
             if not n:
                 first = tree
             run = run + 1 if n and tree == last else 1
-            last, n = tree, n + 1
+            longest, last, n = max(longest, run), tree, n + 1
         if n:
-            yield at, first, last, n, run
+            yield at, first, last, n, run, longest
 
-    begins, follows, before = {}, {}, None
-    for at, first, last, n, run in sorted(ordered.mapPartitionsWithIndex(ends).collect()):  # one row a partition
+    begins, follows, before, largest = {}, {}, None, 0
+    for at, first, last, n, run, longest in sorted(ordered.mapPartitionsWithIndex(ends).collect()):  # one row a partition
         start = before[1] if before is not None and before[0] == first else 0
         begins[at] = start
         if before is not None:
             follows[before[2]] = (first,)
-        before = (last, start + run if first == last and run == n else run, at)
+        before = (last, start + run if run == n else run, at)
+        largest = max(largest, start + longest, before[1])
 
     def place(at: int, rows: Iterator) -> Iterator:
         held, next_ = None, begins.get(at, 0)
@@ -90,14 +91,14 @@ def numbered(ordered: RDD) -> RDD:
         if held is not None:
             yield (held[0], held[1]), (held[2], follows.get(at) != (held[0],), held[3])
 
-    return ordered.mapPartitionsWithIndex(place)
+    return _kept(spark, ordered.mapPartitionsWithIndex(place), "manifest_nodes"), largest
 
 
 def _kept(spark: SparkSession, rdd: RDD, name: str) -> RDD:
     """The RDD as files in the shared folder, read back."""
     path = scratch(spark, name)
     rdd.saveAsPickleFile(path)
-    return rdd.context.pickleFile(path)
+    return rdd.context.pickleFile(path, 1)
 
 
 def _is_root(node) -> bool:
@@ -116,18 +117,23 @@ def _parent(heard):
     return key, (digest(*[c[1] for c in children]), children[-1][2], None)
 
 
-def climb(spark: SparkSession, nodes: RDD, parts: int) -> tuple[list[RDD], RDD]:
-    """Supersteps up: what the parents of each level heard, from the leaves on, as ((tree, place of the parent), [(slot, digest, is_last, load)]), and the roots as (tree, (height, digest, load if it is a leaf))."""
+def _spread(parts: int, height: int) -> int:
+    """Tasks for the nodes of a level."""
+    return max(1, parts // FAN**height)
+
+
+def climb(spark: SparkSession, nodes: RDD, largest: int, parts: int) -> tuple[list[RDD], RDD]:
+    """Supersteps up: what the parents of each level heard, from the leaves on, as ((tree, place of the parent), [(slot, digest, is_last, load)]), and the roots as (tree, (height, digest, load if it is a leaf)). largest: a bound of the number of leaves of a tree."""
     heard, roots = [], spark.sparkContext.emptyRDD()
     while True:
         height = len(heard)
         roots = roots.union(nodes.filter(_is_root).map(lambda n, h=height: (n[0][0], (h, n[1][0], n[1][2]))))
-        messages = nodes.filter(lambda n: not _is_root(n)).map(_message).groupByKey(parts)
-        parents = _kept(spark, messages.mapValues(lambda children: sorted(children, key=lambda c: c[0])), f"manifest_level{height}")
-        if parents.isEmpty():
-            return heard, roots.coalesce(parts)
-        heard.append(parents)
-        nodes = parents.map(_parent)
+        if FAN**height >= largest:  # nothing is left to climb
+            return heard, _kept(spark, roots.coalesce(_spread(parts, 1)), "manifest_roots")
+        messages = nodes.filter(lambda n: not _is_root(n)).map(_message).groupByKey(_spread(parts, height))
+        parents = messages.mapValues(lambda children: sorted(children, key=lambda c: c[0])).coalesce(_spread(parts, height))
+        heard.append(_kept(spark, parents, f"manifest_level{height}"))
+        nodes = heard[-1].map(_parent)
 
 
 def _sent_down(parent) -> Iterator:
@@ -144,7 +150,8 @@ def descend(heard: list[RDD], roots: RDD, parts: int) -> RDD:
     above = None
     for height in range(len(heard), 0, -1):
         begun = roots.filter(lambda r, h=height: r[1][0] == h).map(lambda r: ((r[0], 0), r[1][3:]))
-        sent = heard[height - 1].join(begun if above is None else above.union(begun), parts).flatMap(_sent_down)
+        tasks = _spread(parts, height - 1)
+        sent = heard[height - 1].join(begun if above is None else above.union(begun), tasks).coalesce(tasks).flatMap(_sent_down)
         above = sent.mapValues(lambda m: m[2:])
     return found if above is None else found.union(sent.values())
 
@@ -162,17 +169,17 @@ def build(docs: DataFrame) -> DataFrame:
     found = written(leaves(docs), "manifest_leaves").withColumn("row", F.monotonically_increasing_id())
     order = ["source", "doc_id", "leaf", "row"]  # the last parts rows that are equal
     ordered = found.repartitionByRange(parts, *order).sortWithinPartitions(*order).rdd.map(lambda r: (r["source"], r["leaf"], (r["doc_id"], r["tampered"])))
-    heard, subroots = climb(spark, numbered(ordered), parts)
+    heard, subroots = climb(spark, *numbered(spark, ordered), parts)
     # the tree over the sources: its leaves carry what is needed to go down each source's tree
-    by_source = subroots.sortBy(lambda r: (r[0] is not None, r[0] or ""), numPartitions=parts).map(lambda r: (0, r[1][1], (r[0], r[1][0], r[1][2])))
-    upper, top = climb(spark, numbered(by_source), parts)
+    by_source = subroots.sortBy(lambda r: (r[0] is not None, r[0] or ""), numPartitions=_spread(parts, 1)).map(lambda r: (0, r[1][1], (r[0], r[1][0], r[1][2])))
+    upper, top = climb(spark, *numbered(spark, by_source), _spread(parts, 1))
     root = top.map(lambda r: r[1][1]).collect()  # one, or none for an empty table
 
     def begin(leaf_of_top):
         own, (source, height, load), _, path = leaf_of_top
         return source, (height, own, load, own, path)
 
-    told = descend(upper, top.map(lambda r: (r[0], (*r[1], None, ()))), parts).map(begin)
+    told = descend(upper, top.map(lambda r: (r[0], (*r[1], None, ()))), _spread(parts, 1)).map(begin)
 
     def result(leaf_):
         own, (doc_id, tampered), subroot, path = leaf_
