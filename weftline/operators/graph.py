@@ -27,7 +27,7 @@ def _nearest(anchors: DataFrame, items: DataFrame, keys: list[str], k: int) -> D
     both = both.unionByName(items.select(*keys, F.lit(None).cast("string").alias("src"), "dst", "price", bucket, F.lit(1).alias("is_item"), F.lit(None).cast(none["a"]).alias("a"), "b"))
     sizes = both.groupBy(*keys, "bucket").agg(F.sum("is_item").alias("size"))
     lower = F.coalesce(F.sum("size").over(W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    both = both.join(sizes.select(*keys, "bucket", lower.alias("lower")), [*keys, "bucket"])
+    both = both.join(sizes.select(*keys, "bucket", lower.alias("lower"), F.sum("size").over(W.partitionBy(*keys)).alias("all")), [*keys, "bucket"])
     # an anchor stands before all items of its price
     within = W.partitionBy(*keys, "bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     up = F.col("lower") + F.sum("is_item").over(within.orderBy("price", "is_item", "dst"))
@@ -35,7 +35,7 @@ def _nearest(anchors: DataFrame, items: DataFrame, keys: list[str], k: int) -> D
     placed = both.withColumn("up", up).withColumn("down", down)
     below = F.col("up")
     places = F.array(
-        F.struct(F.lit(True).alias("is_up"), F.sequence(below + 1, below + k).alias("at")),
+        F.struct(F.lit(True).alias("is_up"), F.when(below < F.col("all"), F.sequence(below + 1, F.least(below + k, F.col("all")))).alias("at")),
         F.struct(F.lit(False).alias("is_up"), F.when(below > 0, F.sequence(F.greatest(below - k + 1, F.lit(1)), below)).alias("at")),
     )
     wanted = placed.where("is_item = 0").select(*keys, "src", "a", F.explode(places).alias("s")).select(*keys, "src", "a", "s.is_up", F.explode("s.at").alias("place"))
@@ -78,8 +78,9 @@ def build_edges(items: DataFrame, k: int = 15, anchors: DataFrame | None = None,
     where both categories count for it. An item is offered to each gender that may have it, so an anchor looks into one
     class by gender. Within a class of category, gender, formality and whether there is a color, the score falls with the
     distance in price except for a color in common; so the k nearest in price of each class, and the k nearest of those
-    with one of the anchor's colors, hold the k best. Equal scores are taken in order of id; at the edge of the k nearest,
-    different prices whose scores only rounding makes equal (within four millionths) are taken in order of price.
+    with one of the anchor's colors, hold the k best. The classes of the highest bound and all colors are looked into first;
+    the others only where their bound (formality and color terms, equal prices) reaches the k-th weight found. Equal
+    scores are taken in order of id; at the edge of the k nearest, different prices whose scores only rounding makes equal (within four millionths) are taken in order of price.
     """
     base = _base(items)
     pairs = complements() if pairs is None else pairs
@@ -89,20 +90,49 @@ def build_edges(items: DataFrame, k: int = 15, anchors: DataFrame | None = None,
     # class -1 holds items of unknown formality
     ranks = F.filter(F.sequence(F.lit(-1), F.lit(3)), lambda x: ~relevant | F.col("rank").isNull() | (x < 0) | (F.abs(x - F.col("rank")) <= 1))
     own = F.struct("category", "rank", "colors", "price")
-    a = a.select("*", own.alias("a"), F.explode(ranks).alias("class_rank"))
-    a = a.select(F.col("item_id").alias("src"), "price", "colors", "a", F.col("wanted").alias("category"), F.col("gender").alias("audience"), "class_rank")
+    a = a.select("*", own.alias("a"), ranks.alias("ranks"))
+    a = a.select(F.col("item_id").alias("src"), "price", "colors", "a", F.col("wanted").alias("category"), F.col("gender").alias("audience"), "ranks")
     audiences = F.when(F.col("gender") == "unisex", F.array(*map(F.lit, ("men", "women", "unisex", "kid")))).otherwise(F.array(F.col("gender"), F.lit("unisex")))
     b = base.select("*", own.alias("b"), F.explode(audiences).alias("audience"))
     b = b.select(F.col("item_id").alias("dst"), "price", "colors", "b", "category", "audience", F.coalesce("rank", F.lit(-1)).alias("class_rank"))
+    a, b = written(a, "anchors"), written(b.withColumn("colored", F.size("colors") > 0), "partners")
     keys = ["category", "audience", "class_rank"]
-    colored = F.size("colors") > 0
-    near = _nearest(a.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("colored")), b.withColumn("colored", colored), [*keys, "colored"], k)
     shared = F.array_intersect("a.colors", "b.colors")
-    same = _nearest(a.select("*", F.explode("colors").alias("color")), b.select("*", F.explode("colors").alias("color")), [*keys, "color"], k)
-    # pairs with a color in common come from the second search alone, once for each such color
-    found = near.where(F.size(shared) == 0).unionByName(same if "colors" not in items.columns else same.distinct()).where("src <> dst")
-    directed = found.select("src", "dst", F.col("a.category").alias("src_category"), F.col("b.category").alias("dst_category"), pair_score(_side("a"), _side("b")).alias("weight"))
-    return canonical(_top(directed, k))
+
+    def scored(found: DataFrame) -> DataFrame:
+        return found.where("src <> dst").select("src", "dst", F.col("a.category").alias("src_category"), F.col("b.category").alias("dst_category"), pair_score(_side("a"), _side("b")).alias("weight"))
+
+    def near(classes: DataFrame) -> DataFrame:
+        wanted = classes.select("src", "price", "a", "category", "audience", F.explode("classes").alias("c")).select("src", "price", "a", "category", "audience", "c.class_rank", "c.colored")
+        # pairs with a color in common come from the search by color alone
+        return scored(_nearest(wanted, b.drop("colors"), [*keys, "colored"], k).where(F.size(shared) == 0))
+
+    same = _nearest(a.select("*", F.explode("ranks").alias("class_rank")).select("src", "price", "a", *keys, F.explode("colors").alias("color")), b.select("dst", "price", "b", *keys, F.explode("colors").alias("color")), [*keys, "color"], k)
+    same = same if "colors" not in items.columns else same.distinct()
+    a = a.withColumn("classes", _classes_by_bound(b, keys))
+    best = F.array_max(F.transform("classes", lambda c: c["bound"]))
+    first = near(a.withColumn("classes", F.filter("classes", lambda c: c["bound"] == best)))
+    top = written(_top(first.unionByName(scored(same)), k), "first_partners")
+    # what the other classes can still give: those whose bound reaches the k-th weight
+    kth = top.groupBy("src", F.col("dst_category").alias("category")).agg(F.count("*").alias("n"), F.min("weight").alias("kth"))
+    left = a.withColumn("classes", F.filter("classes", lambda c: c["bound"] < best)).join(kth, ["src", "category"], "left")
+    reach = F.filter("classes", lambda c: F.coalesce(F.col("n") < k, F.lit(True)) | (c["bound"] >= F.col("kth")))
+    second = near(left.withColumn("classes", reach).where(F.size("classes") > 0))
+    return canonical(_top(top.unionByName(second), k))
+
+
+def _classes_by_bound(partners: DataFrame, keys: list[str]) -> Column:
+    """For an anchor (a, category, audience, ranks) the classes of partners without a color in common that there are, each with the best weight that it can give."""
+    there = [tuple(r) for r in partners.select(*keys, "colored").distinct().collect()]  # the vocabulary bounds them
+    known = F.array(*[F.lit("|".join(map(str, t)).lower()) for t in there]).cast("array<string>")
+
+    def one(rank: Column, colored: bool) -> Column:
+        formality = F.when((rank < 0) | F.col("a.rank").isNull(), 0.5).otherwise(1.0 - F.abs(F.col("a.rank") - rank) / 3.0)
+        color = F.when(F.lit(colored) & (F.size("a.colors") > 0), 0.4).otherwise(0.5)
+        name = F.concat_ws("|", "category", "audience", rank.cast("string"), F.lit(str(colored).lower()))
+        return F.struct(rank.alias("class_rank"), F.lit(colored).alias("colored"), F.bround(0.4 * formality + 0.35 * color + 0.25, 6).alias("bound"), F.array_contains(known, name).alias("there"))
+
+    return F.filter(F.flatten(F.transform("ranks", lambda r: F.array(one(r, True), one(r, False)))), lambda c: c["there"])
 
 
 def _side(name: str) -> dict[str, Column]:
