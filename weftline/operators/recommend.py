@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.expressions import formality_rank
-from weftline.functions.vocab import FORMALITY_RELEVANT, PRICE_TIERS
+from weftline.functions.expressions import formality_rank, suggested_size
+from weftline.functions.vocab import FORMALITY_RELEVANT, GENDERS, PRICE_TIERS
+from weftline.operators import outfits as assembly
+from weftline.operators import tags
 from weftline.operators.metrics import nearest_rank
 from weftline.operators.tags import formalities_for
+from weftline.sources.shared import written
+
+#: Outfits of a class that the first pass of a search looks at, and how many times more each next pass does.
+FIRST_LOOK, MORE = 256, 8
 
 
 def seeds(requests: DataFrame, items: DataFrame) -> DataFrame:
@@ -45,6 +51,93 @@ def search(found: DataFrame, requests: DataFrame, top_n: int = 40) -> DataFrame:
     return ranked.where(F.col("retrieval_rank") <= top_n).drop("price_max", "exclude_colors", "style")
 
 
+def wanted_seeds(requests: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, category, formality, gender) of the tops and dresses in stock with a link that suit any of the requests, each once: the bands that the requests' occasions allow are at most four."""
+    bands = requests.select(F.explode(formalities_for(F.col("occasion"))).alias("formality")).distinct()
+    fits = items.where(F.col("category").isin("top", "dress") & F.col("in_stock") & (F.coalesce("url", F.lit("")) != ""))
+    return fits.join(F.broadcast(bands), "formality", "left_semi").select("item_id", "category", "formality", "gender")
+
+
+def search_classes(found: DataFrame, requests: DataFrame, top_n: int = 40, first: int = FIRST_LOOK) -> DataFrame:
+    """For each request its first `top_n` records as `search` gives them, without all pairs of requests and records.
+
+    found: records with formality and seed_gender of their seed; requests: request_id, occasion, gender (or null: any),
+    price_max, exclude_colors, style. A record's class is its seed's formality and gender, sixteen at most; a request
+    looks into the classes that suit it. Each pass gives it the `first` best of each class by score and items, the next
+    one MORE times as many, until top_n records are found that stand before all that the classes still hold back, or
+    nothing is held back.
+    """
+    spark = requests.sparkSession
+    order = [F.desc("score"), F.desc("item_ids")]
+    genders = F.when(F.col("gender").isNull(), F.array(*map(F.lit, GENDERS))).otherwise(F.array_distinct(F.array("gender", F.lit("unisex"))))
+    wants = requests.select("request_id", "price_max", "exclude_colors", "style", F.explode(formalities_for(F.col("occasion"))).alias("formality"), genders.alias("genders"))
+    left = written(wants.select("request_id", "price_max", "exclude_colors", "style", "formality", F.explode("genders").alias("seed_gender")), "wants")
+    found, done, look = written(found, "found"), None, first
+    place = F.row_number().over(W.partitionBy("formality", "seed_gender").orderBy(*order))
+    while True:
+        # one more than is looked at, to know what is held back
+        block = written(found.withColumn("_place", place).where(F.col("_place") <= look + 1), "block")
+        held = block.where(F.col("_place") == look + 1).select("formality", "seed_gender", F.struct("score", "item_ids").alias("next"))
+        limit = left.join(F.broadcast(held), ["formality", "seed_gender"]).groupBy("request_id").agg(F.max("next").alias("limit"))
+        both = block.where(F.col("_place") <= look).drop("_place").join(left, ["formality", "seed_gender"])
+        fits = F.col("price_max").isNull() | (F.col("price_total") <= F.col("price_max"))
+        fits = fits & ~F.coalesce(F.arrays_overlap(F.transform("colors", lambda c: F.lower(c)), "exclude_colors"), F.lit(False))
+        fits = fits & (F.col("style").isNull() | F.array_contains("styles", F.col("style")))
+        ranked = both.where(fits).withColumn("retrieval_rank", F.row_number().over(W.partitionBy("request_id").orderBy(*order)))
+        ranked = written(ranked.where(F.col("retrieval_rank") <= top_n).drop("price_max", "exclude_colors", "style"), "ranked")
+        sure = ranked.join(limit, "request_id", "left").where(F.col("limit").isNull() | (F.struct("score", "item_ids") > F.col("limit")))
+        # open: something is held back, and fewer than top_n stand before it
+        open_ = limit.join(sure.groupBy("request_id").agg(F.count("*").alias("n")), "request_id", "left").where(F.coalesce("n", F.lit(0)) < top_n).select("request_id")
+        open_ = written(open_, "open")
+        now = ranked.join(open_, "request_id", "left_anti")
+        done = now if done is None else done.unionByName(now)
+        if open_.isEmpty():
+            return done
+        left, look = written(left.join(open_, "request_id", "left_semi"), "wants"), look * MORE
+
+
+def taste(record: dict[str, Column], quiz: dict[str, Column]) -> Column:
+    """tags.preference for answers that are columns: styles, occasions and colors (arrays) and tier; null answers count as none."""
+    out = record["score"]
+    for field in ("styles", "occasions"):
+        out = out + F.coalesce(F.size(F.filter(quiz[field], lambda w: F.array_contains(record[field], w))), F.lit(0)) * 0.10  # noqa: B023
+    liked = F.filter(quiz["colors"], lambda c: F.exists(record["colors"], lambda x: F.contains(F.lower(x), F.lower(c))))
+    out = out + F.coalesce(F.size(liked), F.lit(0)) * 0.05
+    return out - F.when(quiz["tier"].isNotNull() & (record["price_tier"] != quiz["tier"]), 0.10).otherwise(0.0)
+
+
+def outfit_sizes(items: Column, height: Column, weight: Column) -> Column:
+    """array<struct<item_id, size>>: the items whose size can be told, from the sizes in stock, else all sizes."""
+    each = F.transform(items, lambda x: F.struct(x["item_id"].alias("item_id"), suggested_size(x["category"], x["gender"], height, weight, F.when(F.size(x["sizes_in_stock"]) > 0, x["sizes_in_stock"]).otherwise(x["available_sizes"])).alias("size")))
+    return F.filter(each, lambda x: x["size"].isNotNull())
+
+
+def recommend(requests: DataFrame, items: DataFrame, edges: DataFrame, top_n: int = 40, top_k: int = 5) -> DataFrame:
+    """Outfits for many requests in one plan: seeds, assembly, search, rerank, sizes of the first.
+
+    requests: request_id, occasion, gender, price_max, exclude_colors, style, quiz (struct of styles, occasions, colors,
+    tier; null without a quiz), height, weight. items: the fields of tags, in_stock, sizes_in_stock, available_sizes.
+    Each seed's outfits are built once, whatever the number of requests that share it. Without a quiz the first top_k of
+    the search stay in its order. Gives request_id, place, retrieval_rank, preference, sizes (place 1) and the record.
+    """
+    seeds_ = written(wanted_seeds(requests, items), "seeds")
+    grown = assembly.assemble(seeds_.select("item_id", "category"), edges)
+    slot = grown.select(F.monotonically_increasing_id().alias("row"), "seed", F.col("score").alias("mean"), "items")
+    slot = written(slot, "assembled")
+    x = F.struct(*[c for c in items.columns if c != "in_stock"])
+    each = slot.select("row", F.posexplode("items").alias("at", "item_id")).join(items.select("item_id", x.alias("x")), "item_id")
+    parts = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("all")).select("row", F.transform("all", lambda a: a["x"]).alias("items"))
+    rows = slot.select("row", "seed", "mean").join(parts, "row").join(seeds_.select(F.col("item_id").alias("seed"), "formality", F.col("gender").alias("seed_gender")), "seed")
+    records = rows.select(*tags.outfit_record(F.col("items"), F.col("mean")), "items", "formality", "seed_gender")
+    found = search_classes(records, requests, top_n)
+    own = found.join(requests.select("request_id", "quiz", "height", "weight"), "request_id")
+    record = {c: F.col(c) for c in ("score", "styles", "occasions", "colors", "price_tier")}
+    liked = F.when(F.col("quiz").isNull(), -F.col("retrieval_rank").cast("double")).otherwise(taste(record, {c: F.col("quiz")[c] for c in ("styles", "occasions", "colors", "tier")}))
+    best = rerank(own, liked, top_k).withColumn("preference", F.when(F.col("quiz").isNotNull(), F.col("preference")))
+    sizes = F.when(F.col("place") == 1, outfit_sizes(F.col("items"), F.col("height"), F.col("weight")))
+    return best.withColumn("sizes", sizes).drop("quiz", "height", "weight", "items", "formality", "seed_gender")
+
+
 def rerank(found: DataFrame, score: Column, top_k: int = 5) -> DataFrame:
     """For each request its first `top_k` records by a taste's score; ties stay in the order of retrieval."""
     scored = found.withColumn("preference", score)
