@@ -95,8 +95,11 @@ def build_edges(items: DataFrame, k: int = 15, anchors: DataFrame | None = None,
     audiences = F.when(F.col("gender") == "unisex", F.array(*map(F.lit, ("men", "women", "unisex", "kid")))).otherwise(F.array(F.col("gender"), F.lit("unisex")))
     b = base.select("*", own.alias("b"), F.explode(audiences).alias("audience"))
     b = b.select(F.col("item_id").alias("dst"), "price", "colors", "b", "category", "audience", F.coalesce("rank", F.lit(-1)).alias("class_rank"))
-    a, b = written(a, "anchors"), written(b.withColumn("colored", F.size("colors") > 0), "partners")
     keys = ["category", "audience", "class_rank"]
+    b = written(b.withColumn("colored", F.size("colors") > 0).repartition("dst"), "partners")
+    a = a.repartition("src").withColumn("classes", _classes_by_bound(b, keys))
+    # the bounds are told once; what follows reads them
+    a = written(a.withColumn("best", F.array_max(F.transform("classes", lambda c: c["bound"]))), "anchors")
     shared = F.array_intersect("a.colors", "b.colors")
 
     def scored(found: DataFrame) -> DataFrame:
@@ -109,13 +112,11 @@ def build_edges(items: DataFrame, k: int = 15, anchors: DataFrame | None = None,
 
     same = _nearest(a.select("*", F.explode("ranks").alias("class_rank")).select("src", "price", "a", *keys, F.explode("colors").alias("color")), b.select("dst", "price", "b", *keys, F.explode("colors").alias("color")), [*keys, "color"], k)
     same = same if "colors" not in items.columns else same.distinct()
-    a = a.withColumn("classes", _classes_by_bound(b, keys))
-    best = F.array_max(F.transform("classes", lambda c: c["bound"]))
-    first = near(a.withColumn("classes", F.filter("classes", lambda c: c["bound"] == best)))
+    first = near(a.withColumn("classes", F.filter("classes", lambda c: c["bound"] == F.col("best"))))
     top = written(_top(first.unionByName(scored(same)), k), "first_partners")
     # what the other classes can still give: those whose bound reaches the k-th weight
     kth = top.groupBy("src", F.col("dst_category").alias("category")).agg(F.count("*").alias("n"), F.min("weight").alias("kth"))
-    left = a.withColumn("classes", F.filter("classes", lambda c: c["bound"] < best)).join(kth, ["src", "category"], "left")
+    left = a.withColumn("classes", F.filter("classes", lambda c: c["bound"] < F.col("best"))).join(kth, ["src", "category"], "left")
     reach = F.filter("classes", lambda c: F.coalesce(F.col("n") < k, F.lit(True)) | (c["bound"] >= F.col("kth")))
     second = near(left.withColumn("classes", reach).where(F.size("classes") > 0))
     return canonical(_top(top.unionByName(second), k))
@@ -123,16 +124,21 @@ def build_edges(items: DataFrame, k: int = 15, anchors: DataFrame | None = None,
 
 def _classes_by_bound(partners: DataFrame, keys: list[str]) -> Column:
     """For an anchor (a, category, audience, ranks) the classes of partners without a color in common that there are, each with the best weight that it can give."""
-    there = [tuple(r) for r in partners.select(*keys, "colored").distinct().collect()]  # the vocabulary bounds them
-    known = F.array(*[F.lit("|".join(map(str, t)).lower()) for t in there]).cast("array<string>")
-
-    def one(rank: Column, colored: bool) -> Column:
-        formality = F.when((rank < 0) | F.col("a.rank").isNull(), 0.5).otherwise(1.0 - F.abs(F.col("a.rank") - rank) / 3.0)
-        color = F.when(F.lit(colored) & (F.size("a.colors") > 0), 0.4).otherwise(0.5)
-        name = F.concat_ws("|", "category", "audience", rank.cast("string"), F.lit(str(colored).lower()))
-        return F.struct(rank.alias("class_rank"), F.lit(colored).alias("colored"), F.bround(0.4 * formality + 0.35 * color + 0.25, 6).alias("bound"), F.array_contains(known, name).alias("there"))
-
-    return F.filter(F.flatten(F.transform("ranks", lambda r: F.array(one(r, True), one(r, False)))), lambda c: c["there"])
+    known: dict[str, list] = {}  # the vocabulary bounds them
+    for r in partners.select(*keys, "colored").distinct().collect():
+        known.setdefault(f"{r['category']}|{r['audience']}", []).append((r["class_rank"], r["colored"]))
+    kinds = "array<struct<class_rank:int,colored:boolean>>"
+    there = F.array().cast(kinds)
+    for name, classes in known.items():
+        own = F.array(*[F.struct(F.lit(rank).alias("class_rank"), F.lit(colored).alias("colored")) for rank, colored in sorted(classes)])
+        there = F.when(F.concat_ws("|", "category", "audience") == name, own.cast(kinds)).otherwise(there)
+
+    def bound(c: Column) -> Column:
+        formality = F.when((c["class_rank"] < 0) | F.col("a.rank").isNull(), 0.5).otherwise(1.0 - F.abs(F.col("a.rank") - c["class_rank"]) / 3.0)
+        color = F.when(c["colored"] & (F.size("a.colors") > 0), 0.4).otherwise(0.5)
+        return F.struct(c["class_rank"].alias("class_rank"), c["colored"].alias("colored"), F.bround(0.4 * formality + 0.35 * color + 0.25, 6).alias("bound"))
+
+    return F.transform(F.filter(there, lambda c: F.array_contains("ranks", c["class_rank"])), bound)
 
 
 def _side(name: str) -> dict[str, Column]:
