@@ -42,12 +42,16 @@ def catalog_row_codes() -> Column:
     )
 
 
+# fixed value: what a product's address looks like
+PRODUCT_URL = r"(?i)^https?://[^\s/$.?#].[^\s]*$"
+
+
 def link_row_codes(stores: tuple[str, ...]) -> Column:
     price, sale = F.col("price_vnd").try_cast("double"), F.col("sale_price_vnd").try_cast("double")
     return _codes(
         {
             "invalid_store_id": (~F.coalesce(F.col("store_id").isin(*stores), F.lit(False)), F.col("store_id")),
-            "invalid_product_url": (~F.coalesce(F.col("product_url").rlike("^https?://"), F.lit(False)), F.col("product_url")),
+            "invalid_product_url": (~F.coalesce(F.col("product_url").rlike(PRODUCT_URL), F.lit(False)), F.col("product_url")),
             "invalid_price": (~F.coalesce(price.between(PRICE_MIN, PRICE_MAX), F.lit(False)), F.col("item_id")),
             "sale_price_above_price": (F.coalesce(sale > price, F.lit(False)), F.col("item_id")),
         }

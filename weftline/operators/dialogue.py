@@ -70,7 +70,7 @@ def call_errors(json: Column) -> Column:
         wrong = F.when(_kind(value) != "STRING", f"{key} must be a string").when(~text(value).isin(*allowed), f"{key} must be one of: {', '.join(sorted(allowed))}")
         errors.append(F.when(F.map_contains_key(args, key), wrong))
     price = F.element_at(args, "price_max")
-    errors.append(F.when(F.map_contains_key(args, "price_max"), F.when(_kind(price) != "BIGINT", "price_max must be an integer").when(F.try_variant_get(price, "$", "bigint") < 0, "price_max must be >= 0")))
+    errors.append(F.when(F.map_contains_key(args, "price_max"), F.when(~_kind(price).rlike(r"^(BIGINT|DECIMAL\([0-9]+,0\))$"), "price_max must be an integer").when(F.try_variant_get(price, "$", "decimal(38,0)") < 0, "price_max must be >= 0")))
     colors = F.element_at(args, "exclude_colors")
     strings = (_kind(colors) == "ARRAY<STRING>") | (F.to_json(colors) == "[]")
     whole = ~F.exists(F.coalesce(F.try_variant_get(colors, "$", "array<string>"), F.array(F.lit(None).cast("string"))), lambda x: x.isNull())
@@ -114,12 +114,18 @@ def text_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0) | (shared == 0), 0.0).otherwise(2.0 * shared / (F.size(x) + F.size(y)))
 
 
+def _value_text(value: Column) -> Column:
+    """A value as text: 5 and "5" are the same."""
+    kind = _kind(value)
+    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind == "BOOLEAN", F.initcap(F.to_json(value))).when(kind == "VOID", "None").otherwise(F.to_json(value))
+
+
 def _pairs(json: Column) -> Column:
     """array<string>: key=value of a call, its arguments as keys of their own."""
     top = _object(json)
     args = F.element_at(top, "arguments").try_cast(_MAP)
-    entries = F.transform(F.filter(F.map_entries(top), lambda e: (e["key"] != "arguments") | args.isNull()), lambda e: F.concat(e["key"], F.lit("="), F.to_json(e["value"])))
-    return F.array_distinct(F.concat(entries, F.coalesce(F.transform(F.map_entries(args), lambda e: F.concat(F.lit("arguments."), e["key"], F.lit("="), F.to_json(e["value"]))), F.array().cast("array<string>"))))
+    entries = F.transform(F.filter(F.map_entries(top), lambda e: (e["key"] != "arguments") | args.isNull()), lambda e: F.concat(e["key"], F.lit("="), _value_text(e["value"])))
+    return F.array_distinct(F.concat(entries, F.coalesce(F.transform(F.map_entries(args), lambda e: F.concat(F.lit("arguments."), e["key"], F.lit("="), _value_text(e["value"]))), F.array().cast("array<string>"))))
 
 
 def _first_call(text: Column) -> Column:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.vocab import OCCASIONS, STYLES
 from weftline.operators import checks, metrics
 from weftline.operators import dialogue as dg
 from weftline.plans.ingest import _list
@@ -16,17 +17,18 @@ from weftline.sources.tables import dialogues, pick, table
 
 COLORS = ('["a"]', "[]", "not-json", "[null]", '["a",1]')
 STORES = tuple(f"s{k}" for k in range(5))
+URLS = ("ftp://x", "https://", "https:// x", "https://?", "HTTP://shop.vn/a", "https://a b", "https://.x", "httpS://x#y", "https://$", " https://x/1", "https://xy")
 CATEGORY_WORDS = ("top", "bottom", "dress", "shoes")
 VIEWS = f"""cat0 as (select 'i' || lpad(p_partkey::varchar, 6, '0') as item_id, p_partkey as k, case when p_partkey % 19 = 0 then 'hat' else {_list(CATEGORY_WORDS)}[p_partkey % 4 + 1] end as category,
   case when p_partkey % 23 = 0 then ' ' when p_partkey % 29 <> 0 then 't' end as title_vi, {_list(COLORS)}[p_partkey % 5 + 1] as colors, case when p_partkey % 31 = 0 then '' else 'd' end as desc_vi, 'img/' || p_partkey % 100 as image_path,
   case when p_partkey % 3 = 0 then 'unisex' else 'men' end as gender from part),
 cat as (select * from cat0 union all select * from cat0 where k % 17 = 0),
-link0 as (select item_id, k, 's' || (k % 6) as store_id, case when k % 7 = 0 then 'ftp://x' when k % 41 <> 0 then 'https://x/' || k end as product_url, (k * 7919) % 60000 as price_vnd, case when k % 3 = 0 then (k * 7919) % 60000 + (k % 2) end as sale_price_vnd from cat0),
+link0 as (select item_id, k, 's' || (k % 6) as store_id, case when k % 7 = 0 then {_list(URLS)}[k % 11 + 1] when k % 41 <> 0 then 'https://x/' || k end as product_url, (k * 7919) % 60000 as price_vnd, case when k % 3 = 0 then (k * 7919) % 60000 + (k % 2) end as sale_price_vnd from cat0),
 link as (select * from link0 where k % 13 <> 0 union all select 'x' || item_id, k, store_id, product_url, price_vnd, sale_price_vnd from link0 where k % 37 = 0 union all select * from link0 where k % 11 = 0 and k % 13 <> 0)"""
 _OK = "(regexp_matches(colors, '^\\s*\\[\\s*\\]\\s*$') or colors = '[\"a\"]')"
 _ROW_CODES = f"""cat_codes as (select k, item_id, unnest([case when category not in {tuple(['top', 'bottom', 'dress', 'outerwear', 'shoes', 'bag', 'accessory'])} then ('invalid_category', category) end, case when trim(coalesce(title_vi, '')) = '' then ('missing_title', item_id) end,
   case when not {_OK} then ('invalid_colors_json', colors) end, case when trim(desc_vi) = '' then ('empty_description', item_id) end]) as x from {{cat}}),
-link_codes as (select k, item_id, unnest([case when store_id = 's5' then ('invalid_store_id', store_id) end, case when not coalesce(regexp_matches(product_url, '^https?://'), false) then ('invalid_product_url', coalesce(product_url, '')) end,
+link_codes as (select k, item_id, unnest([case when store_id = 's5' then ('invalid_store_id', store_id) end, case when not coalesce(lower(product_url[1:5]) in ('http:', 'https') and regexp_full_match(substr(product_url, position('://' in product_url) + 3), '[^\\s/$.?#][^\n][^\\s]*') and lower(split_part(product_url, '://', 1)) in ('http', 'https'), false) then ('invalid_product_url', coalesce(product_url, '')) end,
   case when price_vnd not between 30000 and 50000000 then ('invalid_price', item_id) end, case when sale_price_vnd > price_vnd then ('sale_price_above_price', item_id) end]) as x from {{link}})"""
 
 
@@ -41,7 +43,7 @@ def _frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit("img/"), (k % 100).cast("string")).alias("image_path"), F.when(k % 23 == 0, " ").when(k % 29 != 0, "t").alias("title_vi"), F.when(k % 31 == 0, "").otherwise("d").alias("desc_vi"), pick(COLORS, k % 5).alias("colors"), none.alias("collected_date"), none.alias("collector"),
     )
     link0 = rows.select(
-        "k", "item_id", F.concat(F.lit("s"), (k % 6).cast("string")).alias("store_id"), none.alias("source_product_id"), F.when(k % 7 == 0, "ftp://x").when(k % 41 != 0, F.concat(F.lit("https://x/"), k.cast("string"))).alias("product_url"),
+        "k", "item_id", F.concat(F.lit("s"), (k % 6).cast("string")).alias("store_id"), none.alias("source_product_id"), F.when(k % 7 == 0, pick(URLS, k % 11)).when(k % 41 != 0, F.concat(F.lit("https://x/"), k.cast("string"))).alias("product_url"),
         price.alias("price_vnd"), F.when(k % 3 == 0, price + k % 2).alias("sale_price_vnd"), none.alias("sku"), F.lit(True).alias("in_stock"), none.alias("available_sizes"), none.alias("sizes_in_stock"),
     )
     kept = link0.where(k % 13 != 0)
@@ -120,17 +122,33 @@ def tool_call_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.array_join(dg.text_call_errors(F.col("text")), "; ").alias("errors"), F.size(dg.call_texts(F.col("text"))).alias("calls"))
 
 
-@query(f"""with {_CALLS}, r as (select event_id, event_id % {len(CALLS)} as g, user_id % {len(CALLS)} as f from events)
-select event_id, case when f = 11 then null when g = 11 then 0.0 when g = f then 1.0 else null end as f1_known, case when event_id % 5 = 0 then 1 when g in (0, 10) then 1 else 0 end as format_ok from r where f = 11 or g = 11 or g = f""")
+#: A call from a row's columns: n tells its occasion, style and price, written as a number or as text.
+_BUILT = """'{{"name":"search_outfits","arguments":{{"occasion":"' || {o}[{n} % 9 + 1] || '"' || case when {n} % 3 > 0 then ',"style":"' || {s}[{n} % 4 + 1] || '"' else '' end || case when {n} % 4 > 0 then ',"price_max":' || case when {n} % 2 = 0 then '"' else '' end || ({n} % 5 * 100000) || case when {n} % 2 = 0 then '"' else '' end else '' end || '}}}}'"""
+_PAIR = """(list_transform(list_filter(json_keys({j}), lambda k: k <> 'arguments' or json_type({j}, '$.arguments') <> 'OBJECT'), lambda k: k || '=' || json_extract_string({j}, '$."' || k || '"')) ||
+  case when json_type({j}, '$.arguments') = 'OBJECT' then list_transform(json_keys({j}, '$.arguments'), lambda k: 'arguments.' || k || '=' || json_extract_string({j}, '$.arguments."' || k || '"')) else [] end)"""
+_N = len(CALLS)
+
+
+@query(f"""with r as (select event_id, case when event_id % 3 = 0 then {_list(c for c, _ in CALLS)}[event_id % {_N} + 1] else {_BUILT.format(n='(event_id // 2)', o=_list(OCCASIONS), s=_list(STYLES))} end as g, case when user_id % 4 = 0 then {_list(c for c, _ in CALLS)}[user_id % {_N} + 1] else {_BUILT.format(n='user_id', o=_list(OCCASIONS), s=_list(STYLES))} end as f from events),
+v as (select *, json_valid(g) as gv, json_valid(f) as fv, case when json_valid(g) then g::json end as gj, case when json_valid(f) then f::json end as fj from r), p as (select *, {_PAIR.format(j='gj')} as gp, {_PAIR.format(j='fj')} as fp from v)
+select event_id, round_even(case when not fv then null when not gv then 0.0 else 2.0 * len(list_intersect(list_distinct(gp), list_distinct(fp))) / (len(list_distinct(gp)) + len(list_distinct(fp))) end::double, 6) as f1, case when event_id % 5 = 0 then 1 when event_id % 3 = 0 then (event_id % {_N} in (0, 10))::int when json_type(gj, '$.arguments.price_max') is null then 1 else (json_type(gj, '$.arguments.price_max') <> 'VARCHAR')::int end as format_ok from p""")
 def tool_call_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of generated calls where they are known without counting: equal calls, and no call."""
+    """F1 of generated calls with references, whole, partial and none; whether the generated call is valid where a reference calls."""
+
+    def built(n) -> F.Column:
+        mark = F.when(n % 2 == 0, '"').otherwise("")
+        style = F.when(n % 3 > 0, F.concat(F.lit(',"style":"'), pick(STYLES[:4], n % 4), F.lit('"'))).otherwise("")
+        price = F.when(n % 4 > 0, F.concat(F.lit(',"price_max":'), mark, (n % 5 * 100_000).cast("string"), mark)).otherwise("")
+        return F.concat(F.lit('{"name":"search_outfits","arguments":{"occasion":"'), pick(OCCASIONS, n % 9), F.lit('"'), style, price, F.lit("}}"))
+
     calls = tuple(c for c, _ in CALLS)
-    n = len(CALLS)
-    rows = table(spark, sf_dir, "events").withColumn("g", F.col("event_id") % n).withColumn("f", F.col("user_id") % n).where("f = 11 or g = 11 or g = f")
-    frame = lambda c: F.concat(F.lit("<tool_call>"), pick(calls, F.col(c)), F.lit("</tool_call>"))
-    rows = rows.select("event_id", frame("g").alias("generated"), frame("f").alias("reference"))
+    e, u = F.col("event_id"), F.col("user_id")
+    g = F.when(e % 3 == 0, pick(calls, e % _N)).otherwise(built(F.floor(e / 2)))
+    f = F.when(u % 4 == 0, pick(calls, u % _N)).otherwise(built(u))
+    frame = lambda c: F.concat(F.lit("<tool_call>"), c, F.lit("</tool_call>"))
+    rows = table(spark, sf_dir, "events").select("event_id", frame(g).alias("generated"), frame(f).alias("reference"))
     plain = F.when(F.col("event_id") % 5 == 0, "no call").otherwise(F.col("reference"))
-    return rows.select("event_id", dg.call_f1(F.col("generated"), F.col("reference")).alias("f1_known"), dg.format_ok(F.col("generated"), plain).alias("format_ok"))
+    return rows.select("event_id", F.bround(dg.call_f1(F.col("generated"), F.col("reference")), 6).alias("f1"), dg.format_ok(F.col("generated"), plain).alias("format_ok"))
 
 
 @query("""with t as (select event_id, 'see OF_' || lpad((event_id % 50)::varchar, 5, '0') || ', OF_12 and OF_abc' || user_id || 'x; size m, Cỡ 38 sizes L size XXXL' as s from events)
