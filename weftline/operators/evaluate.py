@@ -70,7 +70,7 @@ def read_metrics(spark, folder: str) -> DataFrame:
     Each file has a header of its own: cells are told by it, whatever their order; columns that a file lacks are null. A
     file of metrics is small, so it is read as one row.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     rows = files.select(F.col("_metadata.file_name").alias("experiment"), F.get(lines, F.lit(0)).alias("header"), F.explode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line"))
     names = [f"c{k}" for k in range(_CELLS)]
