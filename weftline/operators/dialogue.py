@@ -15,7 +15,7 @@ ENUMS = {"occasion": OCCASIONS, "style": STYLES, "body_shape": BODY_SHAPES, "ski
 ARGUMENTS = (*ENUMS, "price_max", "exclude_colors")
 TOOL_TASKS = ("tool_calling_grounded", "multi_turn_grounded")
 TALK_TASKS = ("ask_missing_info_grounded", "no_result_or_relax_constraints", "recommend_explain_grounded", "polite_decline_anti_hallucination", "body_fit_grounded")
-#: Topics in the order in which they are tried.
+#: Topics in the order in which they are tried, words that don't count, scripts that shouldn't occur.
 TOPICS = (
     ("wardrobe_capsule", "tủ quần áo|capsule"),
     ("color_analysis", "màu|tông da|undertone|tông màu"),
@@ -26,7 +26,7 @@ TOPICS = (
     ("layering_season", "mùa đông|mùa hè|mùa xuân|mùa thu|nhiều lớp"),
     ("shoes_accessories", "giày|túi|thắt lưng|mũ|khăn|trang sức|loafer|boot"),
 )
-STOP_WORDS = "và là của cho có một những các được trong với khi để như từ về hoặc tôi bạn thế nào gì sao vì ở trên dưới hơn rất thì mà vẫn đã đang sẽ này đó việc điều chiếc cái làm".split()
+STOP_WORDS = ("và", "là", "của", "cho", "có", "một", "những", "các", "được", "trong", "với", "khi", "để", "như", "từ", "về", "hoặc", "tôi", "bạn", "thế", "nào", "gì", "sao", "vì", "ở", "trên", "dưới", "hơn", "rất", "thì", "mà", "vẫn", "đã", "đang", "sẽ", "này", "đó", "việc", "điều", "chiếc", "cái", "làm")
 SCRIPTS = {"cjk": "[\\u3400-\\u9fff\\uf900-\\ufaff]", "cyrillic": "[\\u0400-\\u04FF]", "arabic": "[\\u0600-\\u06FF]", "devanagari": "[\\u0900-\\u097F]", "weird_char": "[“”‘’•\\uFFFD]"}
 _MAP = "map<string,variant>"
 
@@ -104,7 +104,7 @@ def unknown(found: Column, known: Column) -> Column:
 
 
 def text_similarity(a: Column, b: Column) -> Column:
-    """F1 of the tokens that two texts share, counted with repeats."""
+    """F1 of the tokens that two texts share, counted with repeats: for short texts, as it takes time with the square of their words (evaluate.text_similarities does not)."""
 
     def counted(t: Column) -> Column:
         return F.transform(t, lambda x, i: F.struct(x.alias("t"), F.size(F.filter(F.slice(t, 1, i + 1), lambda y: y == x)).alias("k")))

@@ -110,7 +110,7 @@ def _options(variants: Column) -> Column:
 
 def text_colors(text: Column) -> Column:
     """Colors that a lower-case text names, at most eight."""
-    found = [F.when(text.rlike(rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(tx.words(names))})($|[^\p{{L}}\p{{N}}_])"), F.lit(color)) for color, names in tx.COLOR_NAMES]
+    found = [F.when(text.rlike(rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(names)})($|[^\p{{L}}\p{{N}}_])"), F.lit(color)) for color, names in tx.COLOR_NAMES]
     return F.slice(F.array_distinct(F.filter(F.array(*found), lambda c: c.isNotNull())), 1, 8)
 
 
@@ -153,7 +153,7 @@ def store_category(product_type: Column, store: Column) -> Column:
     kind = F.lower(F.trim(F.regexp_replace(_text(product_type), SPACE, " ")))
     own = [F.when(store == s, _map(tx.lookup(t))[kind]) for s, t in tx.STORE_TYPES.items()]
     dropped = F.when(kind.isin(*tx.DROPPED_TYPES) | has_any(kind, tx.DROPPED_MARKERS), F.lit(tx.DROP))
-    parts = [F.when(has_any(kind, tx.words(listed)), F.lit(category)) for category, listed in tx.TYPE_KEYWORDS]
+    parts = [F.when(has_any(kind, listed), F.lit(category)) for category, listed in tx.TYPE_KEYWORDS]
     return F.when(kind != "", F.coalesce(*own, dropped, _map(tx.lookup(tx.PRODUCT_TYPES))[kind], *parts))
 
 
@@ -274,6 +274,13 @@ def retag(catalog: DataFrame, links: DataFrame, raws: DataFrame, position: str)
     return kept, links.join(kept.select("item_id"), "item_id", "left_semi"), transitions
 
 
+# fixed values: what product pages, their prices and their meta fields look like
+PRODUCT_PATH = r"/products?/|/[a-z0-9-]+(?:-[a-z]{1,4}[0-9]{2,}|-[0-9]{4,}|z[0-9]{5,})$"
+PRICE_IN_DATA = r'''(?i)(?:sale_price|original_price|price|final_price|retail_price)"?\s*[:=]\s*"?([0-9]{5,9})(?:\.0+)?"?'''
+PRICE_SHOWN = r"(?iu)([0-9]{2,3}(?:[.,][0-9]{3}){1,2})\s*(?:đ|VND|VNĐ)"
+META_FIELD = r"""(?i)<meta\s+[^>]*(?:property|name)=["'](og:[^"']+|twitter:[^"']+)["'][^>]*content=["']([^"']*)["'][^>]*>"""
+
+
 def sitemap_locations(xml: Column) -> Column:
     """array<string>: the addresses in a sitemap."""
     return F.transform(F.regexp_extract_all(_text(xml), F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda u: unescape(u))
@@ -297,7 +304,7 @@ def product_pages(sitemaps: DataFrame, xml: str, website: str) -> DataFrame:
     rows = sitemaps.select(block.alias("block")).select(unescape(inner("loc")).alias("loc"), unescape(inner("image:loc")).alias("image_url"), unescape(F.trim(F.regexp_replace(F.regexp_replace(inner("image:title"), "<[^>]+>", " "), r"\s+", " "))).alias("image_title"))
     path = F.lower(F.regexp_extract("loc", r"^\w+://[^/?#]*([^?#]*)", 1))
     own = F.contains(F.replace(F.regexp_extract("loc", r"^\w+://([^/?#]*)", 1), F.lit("www."), F.lit("")), F.lit(host))
-    likely = path.rlike(r"/products?/|/[a-z0-9-]+(?:-[a-z]{1,4}[0-9]{2,}|-[0-9]{4,}|z[0-9]{5,})$")
+    likely = path.rlike(PRODUCT_PATH)
     return rows.where(own & likely).groupBy("loc").agg(F.min_by(F.struct("image_url", "image_title"), F.struct(F.col("image_url").isNull(), "image_url", "image_title")).alias("x")).select("loc", "x.*")
 
 
@@ -308,8 +315,8 @@ def page_price(html: Column) -> Column:
         numbers = F.transform(found, lambda n: F.regexp_replace(n, "[.,]", "").cast("bigint"))
         return F.array_min(F.filter(numbers, lambda n: n.between(PRICE_MIN, PRICE_MAX)))
 
-    data = F.regexp_extract_all(_text(html), F.lit(r'(?i)(?:sale_price|original_price|price|final_price|retail_price)"?\s*[:=]\s*"?([0-9]{5,9})(?:\.0+)?"?'), F.lit(1))
-    shown = F.regexp_extract_all(_text(html), F.lit(r"(?iu)([0-9]{2,3}(?:[.,][0-9]{3}){1,2})\s*(?:đ|VND|VNĐ)"), F.lit(1))
+    data = F.regexp_extract_all(_text(html), F.lit(PRICE_IN_DATA), F.lit(1))
+    shown = F.regexp_extract_all(_text(html), F.lit(PRICE_SHOWN), F.lit(1))
     return F.coalesce(least(data), least(shown))
 
 
@@ -318,8 +325,7 @@ def html_products(pages: DataFrame, store_id: Column, vendor: Column, url: str =
 
     Optional columns image_url and image_title (from a sitemap) come first.
     """
-    meta = r"""(?i)<meta\s+[^>]*(?:property|name)=["'](og:[^"']+|twitter:[^"']+)["'][^>]*content=["']([^"']*)["'][^>]*>"""
-    keys, values = (F.regexp_extract_all(_text(F.col(html)), F.lit(meta), F.lit(k)) for k in (1, 2))
+    keys, values = (F.regexp_extract_all(_text(F.col(html)), F.lit(META_FIELD), F.lit(k)) for k in (1, 2))
     pairs = F.arrays_zip(F.transform(keys, lambda x: F.lower(x)).alias("k"), F.transform(values, lambda x: unescape(F.trim(x))).alias("v"))
     rows = pages.withColumn("metas", pairs).withColumn("price", page_price(F.col(html)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.vocab import OCCASIONS, STYLES
-from weftline.operators import checks, metrics
+from weftline.operators import checks, evaluate, metrics
 from weftline.operators import dialogue as dg
 from weftline.plans.ingest import _list
 from weftline.plans.queries import DIALOGUES
@@ -229,7 +229,8 @@ def example_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_EX}, a as (select conv_id, t, count(*) as c from (select conv_id, unnest(regexp_extract_all(lower(prompt), '[\\p{{L}}\\p{{N}}_]+')) as t from ex) group by 1, 2), b as (select conv_id, t, count(*) as c from (select conv_id, unnest(regexp_extract_all(lower(answer), '[\\p{{L}}\\p{{N}}_]+')) as t from ex) group by 1, 2),
 s as (select conv_id, sum(least(a.c, b.c)) as k from a join b using (conv_id, t) group by 1) select ex.conv_id, round_even(coalesce(2.0 * k / ((select sum(c) from a where a.conv_id = ex.conv_id) + (select sum(c) from b where b.conv_id = ex.conv_id)), 0.0)::double, 6) as similarity from ex left join s using (conv_id)""")
 def text_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _examples(spark, sf_dir).select("conv_id", F.bround(dg.text_similarity(F.col("prompt"), F.col("answer")), 6).alias("similarity"))
+    got = evaluate.text_similarities(_examples(spark, sf_dir), "conv_id", F.col("prompt"), F.col("answer"))
+    return got.select("conv_id", F.bround("similarity", 6).alias("similarity"))
 
 
 @query("select round_even(avg((event_type = case when user_id % 3 = 0 then 'view' else 'click' end)::int), 6) as accuracy from events")

@@ -22,7 +22,7 @@ def _in(values) -> str:
 
 
 def sql_lookup(table: dict[str, str], value: str) -> str:
-    return "case " + " ".join(f"when {value} in {_in(tx.words(listed))} then '{category}'" for category, listed in table.items()) + " end"
+    return "case " + " ".join(f"when {value} in {_in(listed)} then '{category}'" for category, listed in table.items()) + " end"
 
 
 def sql_any(text: str, markers) -> str:
@@ -64,7 +64,7 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KIND = "regexp_replace(lower(kind), '[ \\t\\n]+', ' ', 'g')"
 _STORE = " ".join(f"when store = '{s}' and {sql_lookup(t, 'kd')} is not null then {sql_lookup(t, 'kd')}" for s, t in tx.STORE_TYPES.items())
-_PARTS = " ".join(f"when {sql_any('kd', tx.words(listed))} then '{category}'" for category, listed in tx.TYPE_KEYWORDS)
+_PARTS = " ".join(f"when {sql_any('kd', listed)} then '{category}'" for category, listed in tx.TYPE_KEYWORDS)
 RESOLVED = f"""kinds as (select *, {_KIND} as kd, {sql_words('title')} as tw, {sql_words('kind')} as kw, {sql_words("array_to_string(tags, ' ')")} as gw, lower(title || ' ' || kind) as tk, {sql_words("title || ' ' || kind")} as tkw from raw),
 by_store as (select *, case when kd = '' then null {_STORE} when kd in {_in(tx.DROPPED_TYPES)} or {sql_any('kd', tx.DROPPED_MARKERS)} then 'drop'
   when {sql_lookup(tx.PRODUCT_TYPES, 'kd')} is not null then {sql_lookup(tx.PRODUCT_TYPES, 'kd')} {_PARTS} end as sc,
@@ -90,7 +90,7 @@ def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nz.link_map(rows, "pos")
 
 
-_COLOR = ", ".join(f"case when regexp_matches(ct, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(tx.words(names))})($|[^\\p{{L}}\\p{{N}}_])') then '{color}' end" for color, names in tx.COLOR_NAMES)
+_COLOR = ", ".join(f"case when regexp_matches(ct, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(names)})($|[^\\p{{L}}\\p{{N}}_])') then '{color}' end" for color, names in tx.COLOR_NAMES)
 NORMAL = f"""known as (select store, product, arg_max('item_custom_' || lpad(k::varchar, 5, '0'), k) as known_id from raw where k % 9 = 0 group by 1, 2),
 priced as (select k, min(price) filter (price > 0) as price, min(price) filter (price < compare) as sale, bool_or(available) as stock, (list(sku order by j) filter (sku <> ''))[1] as sku from variants group by k),
 opts as (select k, list(struct_pack(o := o, s := is_size, a := available) order by j, n) as os from (select k, j, available, unnest([o1, o2]) as o, unnest([1, 2]) as n, unnest([o1, o2]) as oo from variants) v join lateral (select (regexp_matches(lower(v.o), 'size|kích|free') or regexp_matches(v.o, '^[XSMLxsml0-9.\\-/ ]{{1,8}}$')) as is_size) on true where o <> '' group by k),
