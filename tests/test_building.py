@@ -148,3 +148,20 @@ def test_random_combinations_are_uniform(spark):
     bags = generation.random_combinations(items, 500, chance=1.0).collect()
     assert any("bag_1" in r["item_ids"] for r in bags)
     assert all("bag_1" not in r["item_ids"] or not {x["gender"] for x in r["items"]} - {"unisex", "men"} for r in bags)
+
+
+def test_attempts_relax_caps_and_keep_the_best(spark):
+    rows = [dict(r, score=r["score"] or 0.0, categories=["dress", "shoes"] if r["has_dress"] else ["top", "bottom", "shoes"]) for r in pool(5, 250)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA + ", categories array<string>")
+    items = spark.createDataFrame([(f"i{k:03d}", "unisex", "casual") for k in range(60)], "item_id string, gender string, formality string")
+    loose = {"min_distinct_items": 1, "max_dress_share": 1.0, "min_dress_share": 0.0, "max_gender_share": 1.0, "max_store_share": 1.0, "min_score_mean": 0.0}
+    caps = Caps(max_item_reuse=2, max_dress_share=None)
+    chosen, reports = diverse.build_within_limits(df, items, 7, 3, TARGETS, caps, "s0", 3, loose)
+    got = reports.collect()
+    assert len(got) == 1 and got[0]["failures"] == [] and got[0]["total"] == 10 == chosen.count() and got[0]["best"] == 7
+    _, reports = diverse.build_within_limits(df, items, 7, 3, TARGETS, caps, "s0", 2, loose | {"min_distinct_items": 1000, "max_reuse": 0})
+    got = sorted(reports.collect(), key=lambda r: r["attempt"])
+    assert [r["attempt"] for r in got] == [1, 2] and all([f.split()[0] for f in r["failures"]] == ["distinct_items", "reuse_max"] for r in got)
+    r = got[0]
+    want = r["score_mean"] + r["distinct_items"] / 1000 + max(0, 80 - r["reuse_p95"]) / 80 + max(0, 120 - r["reuse_max"]) / 120 + max(0, 1 - abs(r["dress_share"] - 0.12)) + max(0, 1 - abs(r["women_share"] - 0.55)) + max(0, 1 - r["store_share"])
+    assert abs(r["quality"] - want) < 1e-9

@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.vocab import PRICE_TIERS
+from weftline.operators.recommend import evaluate_outfits
 from weftline.operators.selection import select_balanced
 from weftline.sources.shared import written
 
@@ -332,3 +333,49 @@ def quality_score(report: Column | dict) -> Column:
         r["score_mean"] + r["distinct_items"] / 1000 + part(80 - r["reuse_p95"]) / 80 + part(120 - r["reuse_max"]) / 120
         + part(1 - F.abs(r["dress_share"] - 0.12)) + part(1 - F.abs(r["women_share"] - 0.55)) + part(1 - r["store_share"])
     )
+
+
+#: Limits of a finished set of outfits. Fixed values.
+LIMITS = {"min_distinct_items": 350, "max_reuse": 80, "max_reuse_p95": 35, "min_dress_share": 0.08, "max_dress_share": 0.20, "max_gender_share": 0.64, "max_store_share": 0.61, "min_score_mean": 0.70}
+
+
+def quality_report(chosen: DataFrame, items: DataFrame, tier_targets: dict[str, float], store: str) -> DataFrame:
+    """recommend.evaluate_outfits of chosen outfits, with gen_method counts (best, random), women_share, gender_share (the largest) and store_share (slots of one store). chosen: item_ids, categories, price_tier, score, gender, gen_method, stores."""
+    base = evaluate_outfits(chosen, items, tier_targets)
+    more = chosen.agg(
+        F.count_if(F.col("gen_method") == METHODS[0]).alias("best"), F.count_if(F.col("gen_method") == METHODS[1]).alias("random"),
+        F.coalesce(F.avg((F.col("gender") == "women").cast("int")), F.lit(0.0)).alias("women_share"),
+        F.coalesce(F.try_divide(F.sum(F.size(F.filter("stores", lambda s: s == store))), F.sum(F.size(F.filter("stores", lambda s: s != "")))), F.lit(0.0)).alias("store_share"),
+    )
+    most = chosen.groupBy("gender").agg(F.count("*").alias("n")).agg(F.coalesce(F.try_divide(F.max("n"), F.sum("n")), F.lit(0.0)).alias("gender_share"))
+    return base.join(more).join(most)  # one row each
+
+
+def quality_failures(report: DataFrame, n: int, best: int, tier_targets: dict[str, float], limits: dict[str, float] | None = None) -> DataFrame:
+    """report with failures: array<string>, the rules that a set of n outfits breaks, each as "name value"; and quality: its quality_score."""
+    at = LIMITS | (limits or {})
+    rules = {
+        "total": F.col("total") != n, "best": F.col("best") != best, "random": F.col("random") != n - best, "unique_combos": F.col("unique_combos") != n, "invalid_rule": F.col("invalid_rule") > 0, "mixed_gender": F.col("mixed_gender") > 0,
+        "formality_clash": F.col("formality_clash") > 0, "distinct_items": F.col("distinct_items") < at["min_distinct_items"], "reuse_max": F.col("reuse_max") > at["max_reuse"], "reuse_p95": F.col("reuse_p95") > at["max_reuse_p95"],
+        "dress_share": ~F.col("dress_share").between(at["min_dress_share"], at["max_dress_share"]), "gender_share": F.col("gender_share") > at["max_gender_share"], "store_share": F.col("store_share") > at["max_store_share"], "score_mean": F.col("score_mean") < at["min_score_mean"],
+    }
+    rules |= {f"tier_{t}": F.col(f"tier_{t}") != c for t, c in tier_counts(n, tier_targets).items()}
+    found = F.array(*[F.when(broken, F.concat_ws(" ", F.lit(name), F.col(name).cast("string"))) for name, broken in rules.items()])
+    return report.withColumn("failures", F.filter(found, lambda x: x.isNotNull())).withColumn("quality", quality_score({c: F.col(c) for c in report.columns}))
+
+
+def build_within_limits(candidates: DataFrame, items: DataFrame, best: int, random: int, tier_targets: dict[str, float], caps: Caps, store: str, attempts: int = 2, limits: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chosen, reports): choices under caps that are relaxed from attempt to attempt, until one breaks no rule; else the one of the best quality. reports has a row for each attempt."""
+    kept = written(candidates, "candidates")
+    reports, top = None, None
+    for attempt in range(1, max(1, attempts) + 1):
+        chosen = written(select_diverse(kept, best, random, tier_targets, caps.relaxed(attempt)), "chosen")
+        sets = chosen.join(kept.select("gen_method", "item_ids", "categories").dropDuplicates(["gen_method", "item_ids"]), ["gen_method", "item_ids"])
+        report = written(quality_failures(quality_report(sets, items, tier_targets, store), best + random, best, tier_targets, limits).withColumn("attempt", F.lit(attempt)), "report")
+        reports = report if reports is None else reports.unionByName(report)
+        row = report.select("quality", F.size("failures").alias("n")).first()
+        if top is None or row["quality"] > top[0] or not row["n"]:
+            top = (row["quality"], chosen)
+        if not row["n"]:
+            break
+    return top[1], reports
