@@ -28,13 +28,12 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
 
 
-@query(f"""with p as (select doc_id, text as a, lead(text) over (order by doc_id) as b, case when doc_id % 5 = 0 then ' ' else lang end as task from documents where length(text) < 4000), s as (select doc_id, unnest({_TOKENS.format('a')}) as t, 1 as x, 0 as y from p union all select doc_id, unnest({_TOKENS.format('b')}), 0, 1 from p),
+@query(f"""with p as (select doc_id, text as a, lead(text) over (order by doc_id) as b, case when doc_id % 5 = 0 then ' ' else lang end as task from documents), s as (select doc_id, unnest({_TOKENS.format('a')}) as t, 1 as x, 0 as y from p union all select doc_id, unnest({_TOKENS.format('b')}), 0, 1 from p),
 c as (select doc_id, t, sum(x) as x, sum(y) as y from s group by 1, 2), m as (select doc_id, 2.0::double * sum(least(x, y)) / sum(x + y) as similarity from c group by 1), r as (select case when trim(coalesce(task, '')) = '' then 'unknown' else task end as task_type, coalesce(similarity, 0.0) as similarity, case when doc_id % 3 > 0 then doc_id % 7 / 7.0::double end as f1 from p left join m using (doc_id))
 select task_type, count(*) as count, round_even(coalesce(avg(f1), 0.0), 4) as mean_tool_call_f1, round_even(avg(similarity), 4) as mean_text_similarity from r group by rollup(task_type)""")
 def evaluated_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as an answer, the next one as its reference, by language; a third has no call."""
-    docs = table(spark, sf_dir, "documents").where(F.char_length("text") < 4000)
-    numbered = evaluate_pairs(docs)
+    numbered = evaluate_pairs(table(spark, sf_dir, "documents"))
     alike = evaluate.text_similarities(numbered, "doc_id", F.col("text"), F.col("reference")).withColumnRenamed("similarity", "text_similarity")
     rows = numbered.select("doc_id", "task_type", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 7 / 7.0).alias("tool_call_f1")).join(alike, "doc_id")
     return evaluate.summarize_scores(rows, scores=("tool_call_f1", "text_similarity"))
