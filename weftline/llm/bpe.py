@@ -10,6 +10,8 @@ next to the border walks up one edge of the token's merge tree; a merge of two s
 border if it comes before each of them is taken up by its own parent.
 
 Null texts count as empty: they have no ids. Equal texts have equal ids. Text is never cut.
+
+An empty table gives no rows. Extra columns may have any name, repeated rows stay.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ are written as "\\n"; both are undone exactly when the output is read back, so n
 Turns are ordered by turn (null first), then role and text; repeated rows stay. A null text or role is
 empty; a null conv_id is one conversation. An empty table gives no examples. A conversation is the unit of
 work, as its examples need its earlier turns; their text grows with its number of replies.
+
+Texts of any length are kept whole. Extra columns may have any name.
 """
 
 from __future__ import annotations

@@ -17,6 +17,8 @@ A null text is empty: a tree with one empty leaf. Whole texts are hashed. A run
 Each document is also compared with its neighbour, the next in descending doc_id (after the last the
 first; null ids last, equal ids by text hash). Documents are dealt out by ranges of doc_id, RANGE_DOCS documents
 each, in which a window looks ahead; a copy of each range's first document closes the range before it.
+
+An empty table gives no rows. Extra columns may have any name.
 """
 
 from __future__ import annotations

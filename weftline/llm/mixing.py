@@ -14,6 +14,8 @@ documents meet in one task.
 Null texts and texts without words have size 0 and take no part in the sums; a source without any words has
 target 0. Null sources are one source and come last. Rows with one doc_id are drawn together: their order is
 by size, then by text hash. An empty table gives no rows.
+
+Texts of any length are counted whole. Extra columns may have any name.
 """
 
 from __future__ import annotations

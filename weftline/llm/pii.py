@@ -21,6 +21,8 @@ Offsets count code points; end is exclusive. A null or empty text has no spans.
 each kind reads a long run of its class once, so a scan takes time in proportion to the text. A redaction scans
 again until it finds nothing, as replacing one span can lay bare another. Repeated rows stay; other columns are
 left out.
+
+An empty table gives no rows.
 """
 
 from __future__ import annotations

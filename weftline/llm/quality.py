@@ -18,6 +18,8 @@ same in each run.
 
 Texts are never cut. A null text counts as empty: no words, base_failed. Repeated rows stay, each with its
 own verdict; equal texts of one language get equal verdicts. An empty table gives no rows.
+
+Extra columns may have any name.
 """
 
 from __future__ import annotations

@@ -14,6 +14,8 @@ contraction over these links; they are checkpointed and none of them reaches the
 Only different fingerprints are joined, so copies cost nothing. A text without words, or a null text, has
 fingerprint zero and is linked like any other. Rows may repeat; each is returned. A null doc_id is never
 the smallest id of a component unless all are null.
+
+Texts of any length are taken whole. An empty table gives no rows. Extra columns may have any name.
 """
 
 from __future__ import annotations

@@ -16,6 +16,8 @@ A null html is an empty payload. A null page_id is less than any other. Rows tha
 and the payload of their group are all responses; whether a row is a revisit depends on its id and payload
 together, so an id may come with several payloads. Repeated rows stay. A null url gives no WARC-Target-URI.
 An empty table gives no records.
+
+Extra columns may have any name. Payloads of any length are written whole.
 """
 
 from __future__ import annotations
