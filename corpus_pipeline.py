@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again for the next.
 All but the last return the columns of documents.
+
+Nulls, empty and very long texts, ties, repeated rows and extra columns are treated as the operators of the stages say: a
+null or empty text fails the quality rules, so later stages see none unless they are called alone, where it counts as
+empty. Rows that share a doc_id or a text stay or go each by itself in quality_rules and personal_data; near_duplicates
+keeps one row of equal texts, mixing draws rows of one id together. Of empty tables each stage returns an empty one.
 """
 
 from __future__ import annotations
