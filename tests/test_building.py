@@ -165,3 +165,19 @@ def test_attempts_relax_caps_and_keep_the_best(spark):
     r = got[0]
     want = r["score_mean"] + r["distinct_items"] / 1000 + max(0, 80 - r["reuse_p95"]) / 80 + max(0, 120 - r["reuse_max"]) / 120 + max(0, 1 - abs(r["dress_share"] - 0.12)) + max(0, 1 - abs(r["women_share"] - 0.55)) + max(0, 1 - r["store_share"])
     assert abs(r["quality"] - want) < 1e-9
+
+
+def test_registered_choice_equals_plain_greedy(spark, monkeypatch):
+    """The query diverse_outfits, which has no SQL, on its own candidates (built once)."""
+    from weftline.plans import building
+    from weftline.sources.shared import written
+
+    sf = "/root/testdata/sf0.001"
+    found = written(building.candidates(spark, sf), "candidates")
+    monkeypatch.setattr(building, "candidates", lambda spark, sf_dir: found)
+    rows = [r.asDict() for r in found.collect()]
+    plain = [dict(r, score=r["score"] or 0.0, stores=sorted(r["store_ids"])) for r in rows]
+    want = plain_choice(plain, building.CHOSEN_BEST, building.CHOSEN_RANDOM, building.TARGETS, building.CAPS)
+    got = building.diverse_outfits(spark, sf).collect()
+    assert sorted((r["place"], r["chosen"], tuple(r["item_ids"].split("|")), r["gen_method"]) for r in got if r["chosen"] != "fill") == want
+    assert len(got) == building.CHOSEN_BEST + building.CHOSEN_RANDOM

@@ -25,7 +25,7 @@ def same(a, b):
     return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12))
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE_SQL])
 def test_query(spark, db, name):
     got = QUERIES[name](spark, SF)
     want = db.sql(ORACLE_SQL[name])
