@@ -93,6 +93,19 @@ def test_clique_expansion(spark):
     assert got == {("t", "b", "s"): 0.8, ("d", "o"): 0.9, ("e",): 0.0}
 
 
+def test_batches_beyond_a_thousand_and_rows_of_one_position(spark):
+    text = {c: F.lit("x").cast("string") for c in (*checks.CATALOG_COLUMNS, *checks.LINK_COLUMNS)}
+    rows = spark.range(1002).withColumns(text).withColumns({"pos": F.col("id"), "item_id": F.col("id").cast("string"), "category": F.lit("top"), "colors": F.lit("[]"), "store_id": F.lit("s"), "product_url": F.lit("http://x/a"), "price_vnd": F.lit(50_000), "sale_price_vnd": F.lit(None).cast("bigint")})
+    raws = spark.createDataFrame([("s", 1000)], "store_id string, raws bigint")
+    batches = checks.gate_batches(rows, raws, ("s",), chunk=1)
+    names = {r["batch_id"] for r in batches.collect()}
+    assert len(names) == 1002 and {"s#000", "s#100", "s#1001"} <= names
+    assert checks.promoted(rows, batches, chunk=1).groupBy("batch_id").count().where("count > 1").isEmpty()
+    # two rows of one position, one of them bad: both of their chunks fail
+    two = rows.where("pos = 7").unionByName(rows.where("pos = 7").withColumn("category", F.lit("hat")))
+    assert [r["blocking_codes"] for r in checks.gate_batches(two, raws, ("s",), chunk=1).collect()] == [["invalid_category"]] * 2
+
+
 def test_clashing_names_nulls_and_ties(spark):
     rows = spark.createDataFrame([(1, 5, "a", 0), (1, 5, "a", 0), (None, 1, None, 9), (2, None, "b", 3)], "k int, rank int, age string, n int")
     assert catalog.latest(rows, ["k"], [F.desc("rank")]).count() == 3
