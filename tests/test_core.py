@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.expressions import pair_score
 from weftline.functions.vocab import COMPLEMENTS, FORMALITIES
-from weftline.operators import catalog, checks, corpus, dialogue, graph, metrics, outfits, tags
+from weftline.operators import audit, catalog, checks, corpus, dialogue, graph, metrics, outfits, tags
 from weftline.streaming import upserts
 
 ITEMS = "item_id string, category string, gender string, formality string, colors array<string>, price bigint"
@@ -106,6 +106,15 @@ def test_batches_beyond_a_thousand_and_rows_of_one_position(spark):
     assert [r["blocking_codes"] for r in checks.gate_batches(two, raws, ("s",), chunk=1).collect()] == [["invalid_category"]] * 2
 
 
+def times_written(rows, name: str) -> int:
+    return rows._jdf.queryExecution().optimizedPlan().toString().count(name + "(")
+
+
+def test_answers_are_read_once_a_row(spark):
+    rows = spark.createDataFrame([("{}",)], "t string").select(audit.sanitize_tags(F.col("t")).alias("x"))
+    assert times_written(rows, "regexp_extract") == 1 and times_written(rows, "get_json_object") == 10
+
+
 def test_clashing_names_nulls_and_ties(spark):
     rows = spark.createDataFrame([(1, 5, "a", 0), (1, 5, "a", 0), (None, 1, None, 9), (2, None, "b", 3)], "k int, rank int, age string, n int")
     assert catalog.latest(rows, ["k"], [F.desc("rank")]).count() == 3

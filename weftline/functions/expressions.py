@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once a row however often `then` uses it: Spark writes a column out wherever it is used."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def to_int_price(raw: Column) -> Column:
     """A price as a whole number: "299,000", "299000.00" or 299000; null if it is none or not above 0."""
     number = F.bround(F.replace(raw, F.lit(","), F.lit("")).try_cast("double"))

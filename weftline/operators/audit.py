@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions.expressions import once
 from weftline.functions.vocab import BODY_SHAPES, SEASONS
 from weftline.operators.tags import split_by_domain
 
@@ -61,9 +62,12 @@ def parse_tags(raw: Column) -> Column:
 
 def _tag_list(value: Column) -> Column:
     """A list from a JSON list, a JSON string or values between commas."""
-    text = F.trim(F.coalesce(value, F.lit("")))
-    plain = F.when(text.rlike(r'^"[^"\\]*"$'), F.array(F.regexp_replace(text, '"', ""))).otherwise(F.split(text, ","))
-    return F.array_distinct(_trimmed(F.when(_is_list(text), F.from_json(text, "array<string>")).otherwise(plain)))
+
+    def listed(text: Column) -> Column:
+        plain = F.when(text.rlike(r'^"[^"\\]*"$'), F.array(F.regexp_replace(text, '"', ""))).otherwise(F.split(text, ","))
+        return F.array_distinct(_trimmed(F.when(_is_list(text), F.from_json(text, "array<string>")).otherwise(plain)))
+
+    return once(F.trim(F.coalesce(value, F.lit(""))), listed)
 
 
 def sanitize_tags(answer: Column) -> Column:
@@ -71,21 +75,25 @@ def sanitize_tags(answer: Column) -> Column:
 
     Each field has other names, tried if the first is missing or empty. An empty answer has no tags; malformed JSON gives null.
     """
-    text = F.trim(F.coalesce(answer, F.lit("")))
-    inside = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
-    json = F.when(inside != "", F.trim(inside)).otherwise(text)
-
-    def field(*names: str) -> Column:
-        found = [F.get_json_object(json, f"$.{n}") for n in names]
-        return F.coalesce(*[F.when(~f.isin("", "[]", "{}", "0", "false"), f) for f in found])
-
-    tags = F.struct(
-        split_by_domain(_tag_list(field("body_shapes_fit", "body_shapes")), BODY_SHAPES)["valid"].alias("body_shapes"),
-        split_by_domain(_tag_list(field("season", "seasons")), SEASONS)["valid"].alias("seasons"),
-        _tag_list(field("colors", "color", "color_palette", "colours")).alias("colors"),
-        F.trim(F.coalesce(field("stylist_notes_vi", "explanation_vi"), F.lit(""))).alias("note"),
-    )
-    return F.when((json == "") | F.try_parse_json(json).isNotNull(), tags)
+
+    def field(json: Column, *names: str) -> Column:
+        found = [once(F.get_json_object(json, f"$.{n}"), lambda f: F.when(~f.isin("", "[]", "{}", "0", "false"), f)) for n in names]
+        return F.coalesce(*found)
+
+    def tagged(json: Column) -> Column:
+        tags = F.struct(
+            split_by_domain(_tag_list(field(json, "body_shapes_fit", "body_shapes")), BODY_SHAPES)["valid"].alias("body_shapes"),
+            split_by_domain(_tag_list(field(json, "season", "seasons")), SEASONS)["valid"].alias("seasons"),
+            _tag_list(field(json, "colors", "color", "color_palette", "colours")).alias("colors"),
+            F.trim(F.coalesce(field(json, "stylist_notes_vi", "explanation_vi"), F.lit(""))).alias("note"),
+        )
+        return F.when((json == "") | F.try_parse_json(json).isNotNull(), tags)
+
+    def unfenced(text: Column) -> Column:
+        fence = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
+        return once(fence, lambda inside: F.when(inside != "", F.trim(inside)).otherwise(text))
+
+    return once(once(F.trim(F.coalesce(answer, F.lit(""))), unfenced), tagged)
 
 
 def fallback_note(category: Column) -> Column:
