@@ -115,6 +115,11 @@ def test_answers_are_read_once_a_row(spark):
     assert times_written(rows, "regexp_extract") == 1 and times_written(rows, "get_json_object") == 10
 
 
+def test_calls_are_read_once_a_row(spark):
+    rows = spark.createDataFrame([("a", "b")], "g string, r string").select(dialogue.call_f1(F.col("g"), F.col("r")).alias("x"))
+    assert times_written(rows, "regexp_extract_all") == 2  # one for either text
+
+
 def test_clashing_names_nulls_and_ties(spark):
     rows = spark.createDataFrame([(1, 5, "a", 0), (1, 5, "a", 0), (None, 1, None, 9), (2, None, "b", 3)], "k int, rank int, age string, n int")
     assert catalog.latest(rows, ["k"], [F.desc("rank")]).count() == 3
