@@ -30,6 +30,16 @@ def test_passes_give_what_one_search_gives(spark):
         assert got == want
 
 
+def test_requests_of_one_rule_are_searched_once(spark):
+    rows = [(f"OF_{k}", [f"i{k:02d}"], ["casual"], ["date"], ["Red"], "mid", 100 * k, 0.5, "formal", "women") for k in range(30)]
+    asked = [(k, "wedding", None, 1500 if k % 2 else None, None, None) for k in range(60)]
+    records, requests = spark.createDataFrame(rows, RECORD), spark.createDataFrame(asked, ASKED)
+    _, hits, _ = recommend.search_rules(records, requests, 5, 2)
+    assert hits.count() == 10 and hits.select("_rule").distinct().count() == 2
+    got = recommend.search_classes(records, requests, 5, 2).collect()
+    assert {(r["request_id"], r["retrieval_rank"], r["outfit_id"]) for r in got} == {(k, n, f"OF_{(16 if k % 2 else 30) - n}") for k in range(60) for n in range(1, 6)} and len(got) == 300
+
+
 ITEM = "item_id string, category string, gender string, formality string, colors array<string>, price bigint, url string, styles array<string>, body_shapes array<string>, seasons array<string>, in_stock boolean, sizes_in_stock array<string>, available_sizes array<string>"
 ASK = ASKED + ", quiz struct<styles:array<string>,occasions:array<string>,colors:array<string>,tier:string>, height int, weight int"
 

@@ -24,14 +24,15 @@ def _extended(outfits: DataFrame, ranked: DataFrame, category: str, max_optional
     """Adds to each outfit the seed's best partner of a category that has an edge to every item chosen so far, if there is one and room is left.
 
     Partners are joined by seed and looked up by edge, so no more rows arise than an item has partners of one category.
+    Both sides grow with the catalog, so they are merged: the size of a compressed file would have Spark send one of them out.
     """
     own = ranked.where(F.col("partner_category") == category).select(F.col("item_id").alias("own_seed"), F.col("partner_id").alias("cand"), F.col("place").alias("cand_place"))
     # (seed, base_place) tells an outfit; its other columns ride along
     keys = ["seed", "base_place"]
-    tried = outfits.where(F.col("added") < max_optional).join(own, F.col("seed") == F.col("own_seed"))
+    tried = outfits.where(F.col("added") < max_optional).join(own.hint("merge"), F.col("seed") == F.col("own_seed"))
     member = tried.select(*keys, F.size("items").alias("n"), "cand", "cand_place", F.explode("items").alias("member"))
     links = ranked.select(F.col("item_id").alias("member"), F.col("partner_id").alias("cand"), F.col("micro").alias("link"))
-    met = member.join(links, ["member", "cand"]).groupBy(*keys, "cand", "cand_place").agg(F.count("link").alias("met"), F.sum("link").alias("gain"), F.first("n").alias("n"))
+    met = member.join(links.hint("merge"), ["member", "cand"]).groupBy(*keys, "cand", "cand_place").agg(F.count("link").alias("met"), F.sum("link").alias("gain"), F.first("n").alias("n"))
     best = met.where("met = n").groupBy(*keys).agg(F.min_by(F.struct("cand", "gain"), "cand_place").alias("best"))
     found = F.col("best").isNotNull()
     return outfits.join(best, keys, "left").select(
@@ -53,7 +54,7 @@ def assemble(seeds: DataFrame, edges: DataFrame, beam: int = 3, max_optional: in
     ranked = written(ranked_partners(edges), "ranked_partners")
     tops = seeds.where("category = 'top'").select(F.col("item_id").alias("seed"))
     bottoms = ranked.where((F.col("partner_category") == "bottom") & (F.col("place") <= max(1, beam))).select(F.col("item_id").alias("seed"), "partner_id", "place", "micro")
-    first = tops.join(bottoms, "seed").select("seed", F.col("place").alias("base_place"), F.array("seed", "partner_id").alias("items"), F.col("micro").alias("total"), F.lit(0).alias("added"))
+    first = tops.join(bottoms.hint("merge"), "seed").select("seed", F.col("place").alias("base_place"), F.array("seed", "partner_id").alias("items"), F.col("micro").alias("total"), F.lit(0).alias("added"))
     alone = seeds.where("category = 'dress'").select(F.col("item_id").alias("seed"), F.lit(1).alias("base_place"), F.array("item_id").alias("items"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("added"))
     grown = first.unionByName(alone)
     for category in OPTIONAL:
@@ -67,7 +68,7 @@ def assemble(seeds: DataFrame, edges: DataFrame, beam: int = 3, max_optional: in
 def records(outfits: DataFrame, items: DataFrame) -> DataFrame:
     """outfits with outfit_id, price_total, tier and colors (sorted, distinct), from items (item_id, color, price)."""
     each = outfits.withColumn("outfit_id", stable_id(F.col("items"))).withColumn("item_id", F.explode("items"))
-    by = each.join(items.select("item_id", "color", "price"), "item_id").groupBy("outfit_id", "seed", "items", "score")
+    by = each.join(items.select("item_id", "color", "price").hint("merge"), "item_id").groupBy("outfit_id", "seed", "items", "score")
     out = by.agg(F.sum("price").alias("price_total"), F.array_sort(F.collect_set("color")).alias("colors"))
     return out.withColumn("tier", outfit_tier(F.col("price_total")))
 

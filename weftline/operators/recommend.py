@@ -62,38 +62,51 @@ def search_classes(found: DataFrame, requests: DataFrame, top_n: int = 40, first
     """For each request its first `top_n` records as `search` gives them, without all pairs of requests and records.
 
     found: records with formality and seed_gender of their seed; requests: request_id, occasion, gender (or null: any),
-    price_max, exclude_colors, style. A record's class is its seed's formality and gender, sixteen at most; a request
-    looks into the classes that suit it. Each pass gives it the `first` best of each class by score and items, the next
-    one MORE times as many, until top_n records are found that stand before all that the classes still hold back, or
-    nothing is held back.
+    price_max, exclude_colors, style.
+    """
+    asked, hits, found = search_rules(found, requests, top_n, first)
+    own = asked.select("request_id", "_rule").join(hits, "_rule")
+    return own.join(found.hint("merge"), "_row").drop("_row", "_rule")
+
+
+def search_rules(found: DataFrame, requests: DataFrame, top_n: int = 40, first: int = FIRST_LOOK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(requests with _rule, hits (_rule, _row, retrieval_rank), found with _row): each different rule is searched once, whatever the number of requests that share it.
+
+    A rule is what a request asks for. A record's class is its seed's formality and gender, sixteen at most; a rule looks
+    into the classes that suit it. Each pass gives it the `first` best of each class by score and items, the next one MORE
+    times as many, until top_n records are found that stand before all that the classes still hold back, or nothing is
+    held back. Only the columns that the rules look at go through the passes.
     """
-    spark = requests.sparkSession
     order = [F.desc("score"), F.desc("item_ids")]
+    asked = written(requests.withColumn("_asks", F.struct("occasion", "gender", "price_max", "exclude_colors", "style")), "asked")
+    rules = written(asked.select("_asks").distinct().withColumn("_rule", F.monotonically_increasing_id()), "rules")
+    asked = asked.join(rules, "_asks").drop("_asks")
     genders = F.when(F.col("gender").isNull(), F.array(*map(F.lit, GENDERS))).otherwise(F.array_distinct(F.array("gender", F.lit("unisex"))))
-    wants = requests.select("request_id", "price_max", "exclude_colors", "style", F.explode(formalities_for(F.col("occasion"))).alias("formality"), genders.alias("genders"))
-    left = written(wants.select("request_id", "price_max", "exclude_colors", "style", "formality", F.explode("genders").alias("seed_gender")), "wants")
-    found, done, look = written(found, "found"), None, first
+    wants = rules.select("_rule", "_asks.*").select("_rule", "price_max", "exclude_colors", "style", F.explode(formalities_for(F.col("occasion"))).alias("formality"), genders.alias("genders"))
+    left = written(wants.select("_rule", "price_max", "exclude_colors", "style", "formality", F.explode("genders").alias("seed_gender")), "wants")
+    found, done, look = written(found.withColumn("_row", F.monotonically_increasing_id()), "found"), None, first
+    slim = found.select("_row", "formality", "seed_gender", "score", "item_ids", "price_total", "styles", F.transform("colors", lambda c: F.lower(c)).alias("low"))
     place = F.row_number().over(W.partitionBy("formality", "seed_gender").orderBy(*order))
+    placed = written(slim.withColumn("_place", place), "placed")
     while True:
-        # one more than is looked at, to know what is held back
-        block = written(found.withColumn("_place", place).where(F.col("_place") <= look + 1), "block")
-        held = block.where(F.col("_place") == look + 1).select("formality", "seed_gender", F.struct("score", "item_ids").alias("next"))
-        limit = left.join(F.broadcast(held), ["formality", "seed_gender"]).groupBy("request_id").agg(F.max("next").alias("limit"))
-        both = block.where(F.col("_place") <= look).drop("_place").join(left, ["formality", "seed_gender"])
+        # the first that is not looked at tells what is held back
+        held = placed.where(F.col("_place") == look + 1).select("formality", "seed_gender", F.struct("score", "item_ids").alias("next"))
+        limit = left.join(F.broadcast(held), ["formality", "seed_gender"]).groupBy("_rule").agg(F.max("next").alias("limit"))
+        both = placed.where(F.col("_place") <= look).join(left, ["formality", "seed_gender"])
         fits = F.col("price_max").isNull() | (F.col("price_total") <= F.col("price_max"))
-        fits = fits & ~F.coalesce(F.arrays_overlap(F.transform("colors", lambda c: F.lower(c)), "exclude_colors"), F.lit(False))
+        fits = fits & ~F.coalesce(F.arrays_overlap("low", "exclude_colors"), F.lit(False))
         fits = fits & (F.col("style").isNull() | F.array_contains("styles", F.col("style")))
-        ranked = both.where(fits).withColumn("retrieval_rank", F.row_number().over(W.partitionBy("request_id").orderBy(*order)))
-        ranked = written(ranked.where(F.col("retrieval_rank") <= top_n).drop("price_max", "exclude_colors", "style"), "ranked")
-        sure = ranked.join(limit, "request_id", "left").where(F.col("limit").isNull() | (F.struct("score", "item_ids") > F.col("limit")))
+        ranked = both.where(fits).select("_rule", "_row", "score", "item_ids").withColumn("retrieval_rank", F.row_number().over(W.partitionBy("_rule").orderBy(*order)))
+        ranked = written(ranked.where(F.col("retrieval_rank") <= top_n), "ranked")
+        sure = ranked.join(limit, "_rule", "left").where(F.col("limit").isNull() | (F.struct("score", "item_ids") > F.col("limit")))
         # open: something is held back, and fewer than top_n stand before it
-        open_ = limit.join(sure.groupBy("request_id").agg(F.count("*").alias("n")), "request_id", "left").where(F.coalesce("n", F.lit(0)) < top_n).select("request_id")
+        open_ = limit.join(sure.groupBy("_rule").agg(F.count("*").alias("n")), "_rule", "left").where(F.coalesce("n", F.lit(0)) < top_n).select("_rule")
         open_ = written(open_, "open")
-        now = ranked.join(open_, "request_id", "left_anti")
+        now = ranked.join(open_, "_rule", "left_anti").select("_rule", "_row", "retrieval_rank")
         done = now if done is None else done.unionByName(now)
         if open_.isEmpty():
-            return done
-        left, look = written(left.join(open_, "request_id", "left_semi"), "wants"), look * MORE
+            return asked, done, found
+        left, look = written(left.join(open_, "_rule", "left_semi"), "wants"), look * MORE
 
 
 def taste(record: dict[str, Column], quiz: dict[str, Column]) -> Column:
@@ -117,7 +130,7 @@ def recommend(requests: DataFrame, items: DataFrame, edges: DataFrame, top_n: in
 
     requests: request_id, occasion, gender, price_max, exclude_colors, style, quiz (struct of styles, occasions, colors,
     tier; null without a quiz), height, weight. items: the fields of tags, in_stock, sizes_in_stock, available_sizes.
-    Each seed's outfits are built once, whatever the number of requests that share it. Without a quiz the first top_k of
+    Each seed's outfits are built once, and each rule searched once, whatever the number of requests that share it. Without a quiz the first top_k of
     the search stay in its order. Gives request_id, place, retrieval_rank, preference, sizes (place 1) and the record.
     """
     seeds_ = written(wanted_seeds(requests, items), "seeds")
@@ -125,17 +138,20 @@ def recommend(requests: DataFrame, items: DataFrame, edges: DataFrame, top_n: in
     slot = grown.select(F.monotonically_increasing_id().alias("row"), "seed", F.col("score").alias("mean"), "items")
     slot = written(slot, "assembled")
     x = F.struct(*[c for c in items.columns if c != "in_stock"])
-    each = slot.select("row", F.posexplode("items").alias("at", "item_id")).join(items.select("item_id", x.alias("x")), "item_id")
+    each = slot.select("row", F.posexplode("items").alias("at", "item_id")).join(items.select("item_id", x.alias("x")).hint("merge"), "item_id")
     parts = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("all")).select("row", F.transform("all", lambda a: a["x"]).alias("items"))
-    rows = slot.select("row", "seed", "mean").join(parts, "row").join(seeds_.select(F.col("item_id").alias("seed"), "formality", F.col("gender").alias("seed_gender")), "seed")
+    rows = slot.select("row", "seed", "mean").join(parts, "row").join(seeds_.select(F.col("item_id").alias("seed"), "formality", F.col("gender").alias("seed_gender")).hint("merge"), "seed")
     records = rows.select(*tags.outfit_record(F.col("items"), F.col("mean")), "items", "formality", "seed_gender")
-    found = search_classes(records, requests, top_n)
-    own = found.join(requests.select("request_id", "quiz", "height", "weight"), "request_id")
+    asked, hits, found = search_rules(records, requests, top_n)
+    # the hits of a rule with what a taste looks at; the whole record comes to the best alone
+    seen = written(hits.join(found.select("_row", "score", "styles", "occasions", "colors", "price_tier").hint("merge"), "_row"), "hits")
+    own = asked.select("request_id", "_rule", "quiz", "height", "weight").join(seen, "_rule")
     record = {c: F.col(c) for c in ("score", "styles", "occasions", "colors", "price_tier")}
     liked = F.when(F.col("quiz").isNull(), -F.col("retrieval_rank").cast("double")).otherwise(taste(record, {c: F.col("quiz")[c] for c in ("styles", "occasions", "colors", "tier")}))
-    best = rerank(own, liked, top_k).withColumn("preference", F.when(F.col("quiz").isNotNull(), F.col("preference")))
+    best = rerank(own, liked, top_k).select("request_id", "_row", "retrieval_rank", "place", F.when(F.col("quiz").isNotNull(), F.col("preference")).alias("preference"), "height", "weight")
+    best = best.join(found.hint("merge"), "_row")
     sizes = F.when(F.col("place") == 1, outfit_sizes(F.col("items"), F.col("height"), F.col("weight")))
-    return best.withColumn("sizes", sizes).drop("quiz", "height", "weight", "items", "formality", "seed_gender")
+    return best.withColumn("sizes", sizes).drop("height", "weight", "items", "formality", "seed_gender", "_row")
 
 
 def rerank(found: DataFrame, score: Column, top_k: int = 5) -> DataFrame:
