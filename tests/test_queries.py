@@ -37,3 +37,10 @@ def test_query(spark, db, name):
     assert len(a) == len(b) and (a or name in ("price_outliers",))
     bad = [(x, y) for x, y in zip(a, b, strict=True) if not all(map(same, x, y))]
     assert not bad, bad[:3]
+
+
+def test_rows_of_a_feed_are_made_by_many_tasks(spark):
+    """A small file of keys is read by one task."""
+    from weftline.sources.tables import feed
+
+    assert spark.read.parquet(f"{SF}/part.parquet").rdd.getNumPartitions() == 1 and feed(spark, SF).rdd.getNumPartitions() == 4
