@@ -44,3 +44,12 @@ def test_rows_of_a_feed_are_made_by_many_tasks(spark):
     from weftline.sources.tables import feed
 
     assert spark.read.parquet(f"{SF}/part.parquet").rdd.getNumPartitions() == 1 and feed(spark, SF).rdd.getNumPartitions() == 4
+
+
+def test_tags_of_the_catalog_are_not_sent_out(spark):
+    """Files of items are small and hold many: no join of outfits with them builds a table in memory; groups are collected by many tasks."""
+    from weftline.plans.outfit_tags import _outfits
+
+    assert _outfits(spark, SF).rdd.getNumPartitions() == 4
+    plan = QUERIES["derived_tag_scores"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -135,17 +135,17 @@ def summarize_items(records: DataFrame, group: str = "category") -> DataFrame:
 def covered_outfits(outfits: DataFrame, items: DataFrame, predicted: DataFrame, relevant: tuple[str, ...]) -> DataFrame:
     """Outfits (outfit_id, item_ids) whose items of relevant categories are all predicted: a division by anti-join. items: item_id, category; predicted: item_id, each once."""
     each = outfits.select("outfit_id", F.explode("item_ids").alias("item_id"))
-    needed = each.join(items.where(F.col("category").isin(*relevant)).select("item_id"), "item_id", "left_semi")
-    lacking = needed.join(predicted.select("item_id"), "item_id", "left_anti").select("outfit_id").distinct()
+    needed = each.join(items.where(F.col("category").isin(*relevant)).select("item_id").hint("merge"), "item_id", "left_semi")
+    lacking = needed.join(predicted.select("item_id").hint("merge"), "item_id", "left_anti").select("outfit_id").distinct().hint("merge")
     return outfits.join(lacking, "outfit_id", "left_anti")
 
 
 def summarize_outfits(outfits: DataFrame, items: DataFrame, predicted: DataFrame, reference: DataFrame, relevant: tuple[str, ...]) -> DataFrame:
     """One row for each covered outfit: body_shapes and seasons derived from predicted and reference tags (item_id, body_shapes, seasons), their jaccards, complete."""
-    rows = covered_outfits(outfits, items, predicted, relevant).select("outfit_id", F.posexplode("item_ids").alias("at", "item_id")).join(items.select("item_id", "category"), "item_id")
+    rows = covered_outfits(outfits, items, predicted, relevant).select("outfit_id", F.posexplode("item_ids").alias("at", "item_id")).join(items.select("item_id", "category").hint("merge"), "item_id")
 
     def of(own: DataFrame, name: str) -> Column:
-        return own.select("item_id", F.struct("body_shapes", "seasons").alias(name))
+        return own.select("item_id", F.struct("body_shapes", "seasons").alias(name)).hint("merge")  # as many as the catalog has: a small file of them is large in memory
 
     both = rows.join(of(predicted, "p"), "item_id", "left").join(of(reference, "r"), "item_id", "left")
     parts = both.groupBy("outfit_id").agg(F.array_sort(F.collect_list(F.struct("at", "category", "p", "r"))).alias("all"))

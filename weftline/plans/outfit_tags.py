@@ -11,7 +11,7 @@ from weftline.plans.ingest import _in, _list
 from weftline.plans.queries import CATALOG, EDGES
 from weftline.plans.registry import query
 from weftline.sources.shared import written
-from weftline.sources.tables import catalog, pick
+from weftline.sources.tables import catalog, dealt, pick
 
 _STYLE_WORDS = (*STYLES, "classic")
 OUTFITS = f"""parts as (select i.*, p.p_partkey as k, case when p_partkey % 13 = 0 then '' else 'http://s/' || p_partkey end as url, [color, ['blue','Green','red'][p_partkey % 3 + 1]] as colors, [{_list(_STYLE_WORDS)}[p_partkey % 9 + 1]] as styles,
@@ -58,7 +58,8 @@ def _outfits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 13 == 0, "").otherwise(F.concat(F.lit("http://s/"), k.cast("string"))).alias("url"), F.array(pick(_STYLE_WORDS, k % 9)).alias("styles"),
         F.when(k % 6 == 0, none).otherwise(two(BODY_SHAPES, 5)).alias("body_shapes"), F.when(k % 7 == 2, none).otherwise(two(SEASONS, 4)).alias("seasons"),
     )
-    return items.groupBy(F.floor(k / 4).alias("key")).agg(F.sort_array(F.collect_list(F.struct("k", item.alias("x")))).alias("xs")).select("key", F.transform("xs", lambda x: x["x"]).alias("items"))
+    # whole groups in many tasks: the wide rows of one are collected in memory
+    return dealt(items.withColumn("key", F.floor(k / 4)), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", item.alias("x")))).alias("xs")).select("key", F.transform("xs", lambda x: x["x"]).alias("items"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
