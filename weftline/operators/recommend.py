@@ -16,6 +16,8 @@ from weftline.sources.shared import written
 
 #: Outfits of a class that the first pass of a search looks at, and how many times more each next pass does.
 FIRST_LOOK, MORE = 256, 8
+#: Parts of a class that tasks look at apart from each other.
+SPREAD = 32
 
 
 def seeds(requests: DataFrame, items: DataFrame) -> DataFrame:
@@ -92,7 +94,9 @@ def search_rules(found: DataFrame, requests: DataFrame, top_n: int = 40, first:
         # the first that is not looked at tells what is held back
         held = placed.where(F.col("_place") == look + 1).select("formality", "seed_gender", F.struct("score", "item_ids").alias("next"))
         limit = left.join(F.broadcast(held), ["formality", "seed_gender"]).groupBy("_rule").agg(F.max("next").alias("limit"))
-        both = placed.where(F.col("_place") <= look).join(left, ["formality", "seed_gender"])
+        # a rule meets each part of a class; neither side is sent out whole
+        block = placed.where(F.col("_place") <= look).withColumn("_part", F.col("_place") % SPREAD)
+        both = block.hint("merge").join(left.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["formality", "seed_gender", "_part"])
         fits = F.col("price_max").isNull() | (F.col("price_total") <= F.col("price_max"))
         fits = fits & ~F.coalesce(F.arrays_overlap("low", "exclude_colors"), F.lit(False))
         fits = fits & (F.col("style").isNull() | F.array_contains("styles", F.col("style")))
