@@ -76,3 +76,14 @@ def test_sample_takes_whole_outfits_and_fails_when_it_can_not(spark):
         evaluate.benchmark_sample(outfits, items, 99, 2)
     with pytest.raises(ValueError, match="positive"):
         evaluate.benchmark_sample(outfits, items, 0, 2)
+
+
+def test_tokens_stay_in_their_task(spark):
+    rows = spark.createDataFrame([(1, "a b b", "b B c"), (2, None, "x"), (3, "", ""), (4, "u", "v")], "k int, a string, b string")
+    got = evaluate.text_similarities(rows, "k", F.col("a"), F.col("b"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: r["similarity"] for r in got.collect()} == {1: 2.0 * 2 / 6, 2: 0.0, 3: 0.0, 4: 0.0}
+    from weftline.plans.evaluation import evaluate_pairs
+
+    docs = spark.createDataFrame([(k, None if k % 5 == 0 else f"t{k}", "en") for k in range(40)], "doc_id long, text string, lang string").repartition(7)
+    assert {r["doc_id"]: r["reference"] for r in evaluate_pairs(docs).collect()} == {k: None if k == 39 or (k + 1) % 5 == 0 else f"t{k + 1}" for k in range(40)}

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.vocab import BODY_SHAPES, SEASONS
 from weftline.operators import embedding, evaluate
-from weftline.operators.ordering import ranked
 from weftline.plans.building import parts
 from weftline.plans.outfit_tags import OUTFITS, _outfits, _shared_sql
 from weftline.plans.queries import CATALOG
 from weftline.plans.registry import query
+from weftline.sources.shared import written
 from weftline.sources.tables import catalog, table
 
 
@@ -34,16 +35,20 @@ select task_type, count(*) as count, round_even(coalesce(avg(f1), 0.0), 4) as me
 def evaluated_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as an answer, the next one as its reference, by language; a third has no call."""
     numbered = evaluate_pairs(table(spark, sf_dir, "documents"))
-    alike = evaluate.text_similarities(numbered, "doc_id", F.col("text"), F.col("reference")).withColumnRenamed("similarity", "text_similarity")
-    rows = numbered.select("doc_id", "task_type", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 7 / 7.0).alias("tool_call_f1")).join(alike, "doc_id")
+    rows = evaluate.with_similarity(numbered, F.col("text"), F.col("reference"), "text_similarity")
+    rows = rows.withColumn("tool_call_f1", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 7 / 7.0))
     return evaluate.summarize_scores(rows, scores=("tool_call_f1", "text_similarity"))
 
 
 def evaluate_pairs(docs: DataFrame) -> DataFrame:
-    """Documents with the text of the next one (by id) as reference: numbered by ranges, joined on the next number."""
-    rows = ranked(docs.select("doc_id", "text", "lang"), ["doc_id"], "n")
-    following = rows.select((F.col("n") - 1).alias("n"), F.col("text").alias("reference"))
-    return rows.join(following, "n", "left").select("doc_id", "text", "reference", F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("lang")).alias("task_type"))
+    """Documents with the text of the next one (by id) as reference: dealt out by ranges of ids, the last of a range with the first of the next range."""
+    dealt = written(docs.select("doc_id", "text", "lang").repartitionByRange("doc_id").withColumn("_part", F.spark_partition_id()), "ranges")
+    # one row a range; a struct, as a text may be null
+    heads = dealt.groupBy("_part").agg(F.min_by(F.struct("text"), "doc_id").alias("head"))
+    after = heads.select("_part", F.lead("head").over(W.orderBy("_part")).alias("_after"))
+    following = F.lead(F.struct("text")).over(W.partitionBy("_part").orderBy("doc_id"))
+    rows = dealt.withColumn("_next", following).join(F.broadcast(after), "_part")
+    return rows.select("doc_id", "text", F.coalesce("_next", "_after")["text"].alias("reference"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("lang")).alias("task_type"))
 
 
 _RUNS = """runs as (select event_type as experiment, case when user_id % 4 > 0 then 'a' || (user_id % 4) end as ablation, 'm' || (event_id % 3) as metric, (value::decimal(18, 4))::varchar as value, case when event_id % 6 = 0 then 'soon' when event_id % 11 > 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') end as timestamp, case when event_id % 6 = 0 or event_id % 11 = 0 then timestamp '0001-01-01' else date_trunc('second', ts) end as moment from events),
