@@ -223,3 +223,15 @@ def test_audit_of_odd_rows(spark):
     assert audit.review_sample(empty, audit.semantic_flags(empty)).count() == audit.invalid_tags(empty).count() == 0
     text = spark.createDataFrame([("{oops",), (None,)], "t string")
     assert [r["x"] is None for r in text.select(audit.sanitize_tags(F.col("t")).alias("x")).collect()] == [True, False]
+
+
+def test_tables_that_grow_with_the_catalog_are_not_sent_out(spark, tmp_path):
+    """Small files hold many rows: joins of edges with contexts and items build no table in memory."""
+    spark.createDataFrame([("a", "s", "top", "shoes", 0.5), ("b", "s", "bottom", "shoes", 0.4)], "src_id string, dst_id string, src_category string, dst_category string, weight double").write.parquet(f"{tmp_path}/edges")
+    spark.createDataFrame([("a", "top", "men", "casual"), ("b", "bottom", "men", "casual"), ("s", "shoes", "women", "casual")], "item_id string, category string, gender string, formality string").write.parquet(f"{tmp_path}/items")
+    edges, items = spark.read.parquet(f"{tmp_path}/edges"), spark.read.parquet(f"{tmp_path}/items")
+    contexts = items.where("category = 'top'").select(F.col("item_id").alias("key"), F.array("item_id").alias("items"))
+    found, bad = graph.rank_completions(contexts, edges, "shoes", 5), graph.coherence_violations(items, edges)
+    for df in (found, bad):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("a", 1, "s")] and bad.count() == 2
