@@ -257,3 +257,13 @@ def test_new_edges_are_not_looked_up_among_the_old(spark):
     assert "LeftAnti" not in more._jdf.queryExecution().optimizedPlan().toString()
     pairs = [(r["src_id"], r["dst_id"]) for r in more.collect()]
     assert len(pairs) == len(set(pairs)) and {(r["src_id"], r["dst_id"]) for r in old.collect()} < set(pairs)
+
+
+def test_outfits_deal_out_only_edges_they_can_use(spark, monkeypatch):
+    """Places are those of tops and dresses; an edge is looked up for the category at its end, from what an outfit holds by then."""
+    edges = spark.createDataFrame([("b", "t", "bottom", "top", 0.9), ("s", "t", "shoes", "top", 0.8), ("b", "s", "bottom", "shoes", 0.7), ("bag", "s", "bag", "shoes", 0.6)], "src_id string, dst_id string, src_category string, dst_category string, weight double")
+    kept, links = [], outfits._links
+    monkeypatch.setattr(outfits, "_links", lambda *a: kept.append(a[1]) or links(*a))
+    seeds = spark.createDataFrame([("t", "top"), ("b", "bottom")], "item_id string, category string")
+    assert [(r["items"], r["score"]) for r in outfits.assemble(seeds, edges).collect()] == [(["t", "b", "s"], 0.8)]
+    assert kept[0] == ("top", "dress") and kept[1] == ("top", "dress", "bottom") and kept[-1][-1] == "bag"

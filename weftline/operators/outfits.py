@@ -12,18 +12,28 @@ from weftline.sources.shared import written
 
 #: Categories that may be added to an outfit's base, in this order. Fixed values.
 OPTIONAL = ("shoes", "outerwear", "bag", "accessory")
+#: Categories of what an outfit starts with: the seeds, and the bottom of a top.
+SEEDS = ("top", "dress")
+BASE = (*SEEDS, "bottom")
 
 
-def ranked_partners(edges: DataFrame) -> DataFrame:
-    """directed edges with micro (weight in millionths) and place: the rank among the item's partners of that category, by weight and then id."""
+def _links(edges: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """directed edges of the items of some categories: item_id, partner_id, partner_category, weight and micro (weight in millionths)."""
+    micro = F.bround(F.col("weight") * 1_000_000).cast("bigint").alias("micro")
+    return directed(edges).where(F.col("category").isin(*categories)).select("item_id", "partner_id", "partner_category", "weight", micro)
+
+
+def ranked_partners(edges: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """_links with place: the rank among the item's partners of that category, by weight and then id."""
     order = W.partitionBy("item_id", "partner_category").orderBy(F.desc("weight"), "partner_id")
-    return directed(edges).withColumn("micro", F.bround(F.col("weight") * 1_000_000).cast("bigint")).withColumn("place", F.row_number().over(order))
+    return _links(edges, categories).withColumn("place", F.row_number().over(order)).drop("weight")
 
 
-def _extended(outfits: DataFrame, ranked: DataFrame, category: str, max_optional: int) -> DataFrame:
+def _extended(outfits: DataFrame, ranked: DataFrame, edges: DataFrame, category: str, max_optional: int) -> DataFrame:
     """Adds to each outfit the seed's best partner of a category that has an edge to every item chosen so far, if there is one and room is left.
 
-    Partners are joined by seed and looked up by edge, so no more rows arise than an item has partners of one category.
+    Partners are joined by seed and looked up by edge, so no more rows arise than an item has partners of one category. Of the
+    edges only those from what an outfit can hold by now to the category are dealt out.
     Both sides grow with the catalog, so they are merged: the size of a compressed file would have Spark send one of them out.
     """
     own = ranked.where(F.col("partner_category") == category).select(F.col("item_id").alias("own_seed"), F.col("partner_id").alias("cand"), F.col("place").alias("cand_place"))
@@ -31,7 +41,8 @@ def _extended(outfits: DataFrame, ranked: DataFrame, category: str, max_optional
     keys = ["seed", "base_place"]
     tried = outfits.where(F.col("added") < max_optional).join(own.hint("merge"), F.col("seed") == F.col("own_seed"))
     member = tried.select(*keys, F.size("items").alias("n"), "cand", "cand_place", F.explode("items").alias("member"))
-    links = ranked.select(F.col("item_id").alias("member"), F.col("partner_id").alias("cand"), F.col("micro").alias("link"))
+    links = _links(edges, (*BASE, *OPTIONAL[: OPTIONAL.index(category)])).where(F.col("partner_category") == category)
+    links = links.select(F.col("item_id").alias("member"), F.col("partner_id").alias("cand"), F.col("micro").alias("link"))
     met = member.join(links.hint("merge"), ["member", "cand"]).groupBy(*keys, "cand", "cand_place").agg(F.count("link").alias("met"), F.sum("link").alias("gain"), F.first("n").alias("n"))
     best = met.where("met = n").groupBy(*keys).agg(F.min_by(F.struct("cand", "gain"), "cand_place").alias("best"))
     found = F.col("best").isNotNull()
@@ -48,17 +59,18 @@ def assemble(seeds: DataFrame, edges: DataFrame, beam: int = 3, max_optional: in
     """(seed, items, score): outfits grown from seeds (item_id, category).
 
     A top starts with each of its first `beam` bottoms, a dress alone; other seeds give nothing. The score is the mean
-    weight of all pairs, summed as integers; a dress without company has 0. Of outfits with the same items one stays. The ranked edges
-    and the outfits of each step are read more than once, so they are tables in the shared folder.
+    weight of all pairs, summed as integers; a dress without company has 0. Of outfits with the same items one stays. An item has the
+    same category in seeds and edges. The edges are read more than once: pass a table. So are their ranked ones of tops and dresses
+    and the outfits of each step, which are tables in the shared folder.
     """
-    ranked = written(ranked_partners(edges), "ranked_partners")
+    ranked = written(ranked_partners(edges, SEEDS), "ranked_partners")
     tops = seeds.where("category = 'top'").select(F.col("item_id").alias("seed"))
     bottoms = ranked.where((F.col("partner_category") == "bottom") & (F.col("place") <= max(1, beam))).select(F.col("item_id").alias("seed"), "partner_id", "place", "micro")
     first = tops.join(bottoms.hint("merge"), "seed").select("seed", F.col("place").alias("base_place"), F.array("seed", "partner_id").alias("items"), F.col("micro").alias("total"), F.lit(0).alias("added"))
     alone = seeds.where("category = 'dress'").select(F.col("item_id").alias("seed"), F.lit(1).alias("base_place"), F.array("item_id").alias("items"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("added"))
     grown = first.unionByName(alone)
     for category in OPTIONAL:
-        grown = _extended(written(grown, "outfits"), ranked, category, max_optional)
+        grown = _extended(written(grown, "outfits"), ranked, edges, category, max_optional)
     pairs = F.size("items") * (F.size("items") - 1) / 2
     scored = grown.withColumn("score", F.when(pairs > 0, F.bround(F.col("total") / pairs / 1_000_000, 6)).otherwise(0.0))
     one = W.partitionBy(F.array_sort("items")).orderBy(F.desc("score"), "seed", "base_place")

@@ -10,6 +10,7 @@ from weftline.functions.vocab import COMPLEMENTS
 from weftline.operators import catalog as cat
 from weftline.operators import corpus, graph, metrics, outfits
 from weftline.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from weftline.sources.shared import written
 from weftline.sources.tables import catalog, dialogues, links, table
 
 _CATEGORIES = "['top','bottom','dress','outerwear','shoes','bag','accessory']"
@@ -238,7 +239,7 @@ _TIER = "case when price_total < 300000 then 'budget' when price_total <= 800000
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = catalog(spark, sf_dir)
-    return outfits.records(outfits.assemble(items, graph.build_edges(items)), items)
+    return outfits.records(outfits.assemble(items, written(graph.build_edges(items), "edges")), items)
 
 
 @query(f"with {CATALOG}, {EDGES}, {_OUTFITS} select *, {_TIER} as tier from records")
