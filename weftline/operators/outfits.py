@@ -36,15 +36,18 @@ def _extended(outfits: DataFrame, ranked: DataFrame, edges: DataFrame, category:
     edges only those from what an outfit can hold by now to the category are dealt out.
     Both sides grow with the catalog, so they are merged: the size of a compressed file would have Spark send one of them out.
     """
-    own = ranked.where(F.col("partner_category") == category).select(F.col("item_id").alias("own_seed"), F.col("partner_id").alias("cand"), F.col("place").alias("cand_place"))
+    own = ranked.where(F.col("partner_category") == category).select(F.col("item_id").alias("own_seed"), F.col("partner_id").alias("cand"), F.col("place").alias("cand_place"), F.col("micro").alias("own_link"))
     # (seed, base_place) tells an outfit; its other columns ride along
     keys = ["seed", "base_place"]
     tried = outfits.where(F.col("added") < max_optional).join(own.hint("merge"), F.col("seed") == F.col("own_seed"))
-    member = tried.select(*keys, F.size("items").alias("n"), "cand", "cand_place", F.explode("items").alias("member"))
+    # that the seed has an edge to its partner is known, the others are looked up
+    others = F.filter("items", lambda x: x != F.col("seed"))
+    member = tried.select(*keys, F.size(others).alias("n"), "cand", "cand_place", "own_link", F.explode(others).alias("member"))
+    alone = tried.where(F.size(others) == 0).select(*keys, "cand", "cand_place", F.col("own_link").alias("gain"))
     links = _links(edges, (*BASE, *OPTIONAL[: OPTIONAL.index(category)])).where(F.col("partner_category") == category)
     links = links.select(F.col("item_id").alias("member"), F.col("partner_id").alias("cand"), F.col("micro").alias("link"))
-    met = member.join(links.hint("merge"), ["member", "cand"]).groupBy(*keys, "cand", "cand_place").agg(F.count("link").alias("met"), F.sum("link").alias("gain"), F.first("n").alias("n"))
-    best = met.where("met = n").groupBy(*keys).agg(F.min_by(F.struct("cand", "gain"), "cand_place").alias("best"))
+    met = member.join(links.hint("merge"), ["member", "cand"]).groupBy(*keys, "cand", "cand_place").agg(F.count("link").alias("met"), (F.sum("link") + F.first("own_link")).alias("gain"), F.first("n").alias("n"))
+    best = met.where("met = n").select(alone.columns).unionByName(alone).groupBy(*keys).agg(F.min_by(F.struct("cand", "gain"), "cand_place").alias("best"))
     found = F.col("best").isNotNull()
     return outfits.join(best, keys, "left").select(
         "seed",
