@@ -267,3 +267,42 @@ def test_outfits_deal_out_only_edges_they_can_use(spark, monkeypatch):
     seeds = spark.createDataFrame([("t", "top"), ("b", "bottom")], "item_id string, category string")
     assert [(r["items"], r["score"]) for r in outfits.assemble(seeds, edges).collect()] == [(["t", "b", "s"], 0.8)]
     assert kept[0] == ("top", "dress") and kept[1] == ("top", "dress", "bottom") and kept[-1][-1] == "bag"
+
+
+def test_a_block_weighs_only_what_is_near_in_price(monkeypatch):
+    """A block's work follows its anchors, not its pairs, whatever the number of equal prices; the k best are those of all pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    n, some, k = 3000, 400, 5
+
+    def table(ids, prices):
+        ranks = rng.integers(-1, 4, len(ids))
+        return {"rank": pa.array(ranks, pa.int32()), "colors": [["red"]] * len(ids), "price": np.asarray(prices, float)}
+
+    left = pa.table({"src": [f"a{i:04d}" for i in range(some)], **table(range(some), rng.integers(1000, 1400, some)), "loose": rng.random(some) < 0.5, "found": pa.array([None] * some, pa.list_(pa.struct([("loss", pa.int32()), ("dst", pa.string())]))), "bound": pa.array([-1] * some, pa.int32()), "more": pa.array([0] * some, pa.int32()), "ranks_there": pa.array([31] * some, pa.int32()), "odd": [False] * some, "plain": [False] * some})
+    right = pa.table({"dst": [f"b{i:04d}" for i in rng.permutation(n)], **table(range(n), np.where(rng.random(n) < 0.5, 1200, rng.integers(1000, 1400, n)))})
+    weighed, share = [], graph._price_share
+    monkeypatch.setattr(graph, "_price_share", lambda p, q: weighed.append(np.broadcast(p, q).size) or share(p, q))
+    near = graph._best_of_block(left, right, k, True)["found"].to_pylist()
+    assert sum(weighed) < some * n / 4
+    monkeypatch.setattr(graph, "_nearest", lambda best, rows, *a: best.__setitem__(rows, graph._largest(a[4](rows, np.arange(n)[None, :]), k)))
+    assert near == graph._best_of_block(left, right, k, True)["found"].to_pylist() and all(len(x) == k for x in near)
+
+
+def test_edges_are_neither_added_up_nor_sorted(spark):
+    """An edge that both ends found is known from the partner's list; who has no gender has no list. Gates deal out edges to items without sorting."""
+    rows = [(f"i{n:03}", "top" if n % 2 else "bottom", ("men", "unisex", None)[n % 3], "casual", "red", 100 + n) for n in range(60)]
+    items = spark.createDataFrame(rows, "item_id string, category string, gender string, formality string, color string, price long")
+    edges = graph.build_edges(items, 3)
+    assert "Aggregate" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    found = [(r["src_id"], r["dst_id"]) for r in edges.collect()]
+    lists = {}
+    for a in rows:
+        fits = [b for b in rows if a[1] != b[1] and a[2] and (a[2] == b[2] or "unisex" in (a[2], b[2]))]
+        share = lambda b: round(min(a[5], b[5]) / max(a[5], b[5]) * 250_000)  # noqa: B023, E731
+        lists[a[0]] = [b[0] for b in sorted(fits, key=lambda b: (-share(b), b[0]))[:3]]
+    assert sorted(found) == sorted({(min(a, b), max(a, b)) for a, bs in lists.items() for b in bs}) and any(int(x[1:]) % 3 == 2 for pair in found for x in pair)
+    plan = graph.coherence_violations(items, edges)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin [src_id" not in plan

@@ -11,7 +11,7 @@ from weftline.plans.ingest import _in, _list
 from weftline.plans.queries import CATALOG, EDGES
 from weftline.plans.registry import query
 from weftline.sources.shared import written
-from weftline.sources.tables import catalog, dealt, pick
+from weftline.sources.tables import catalog, dealt, item_id, pick
 
 _STYLE_WORDS = (*STYLES, "classic")
 OUTFITS = f"""parts as (select i.*, p.p_partkey as k, case when p_partkey % 13 = 0 then '' else 'http://s/' || p_partkey end as url, [color, ['blue','Green','red'][p_partkey % 3 + 1]] as colors, [{_list(_STYLE_WORDS)}[p_partkey % 9 + 1]] as styles,
@@ -148,7 +148,7 @@ select src_id, dst_id, count(*) as n from bad join base x on x.item_id = bad.src
 def edge_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges whose end was moved to the next item, most of which break a rule."""
     items = catalog(spark, sf_dir)
-    moved = F.format_string("item_%06d", F.substring("dst_id", 6, 12).cast("bigint") + 1)
+    moved = item_id(F.substring("dst_id", 6, 12).cast("bigint") + 1)
     rows = graph.build_edges(items).withColumn("moved", moved).where("src_id <> moved")
     rows = rows.select(F.least("src_id", "moved").alias("src_id"), F.greatest("src_id", "moved").alias("dst_id"))
     return graph.coherence_violations(items, rows).groupBy("src_id", "dst_id").agg(F.count("*").alias("n"))
