@@ -69,3 +69,16 @@ def test_flow(spark):
     assert by[3, 1]["item_ids"] == ["d"] and abs(by[3, 1]["preference"] + 0.1) < 1e-9 and len(by) == 4
     none, _ = catalog(spark, in_stock=False)
     assert recommend.recommend(ask(spark, plain), none, edges).count() == 0
+
+
+def test_requests_that_say_the_same_are_answered_once(spark, monkeypatch):
+    """Answers follow what is asked, not how many ask; each request gets what it would get alone."""
+    items, edges = catalog(spark)
+    kinds = [(None, None, None, None, None, 165, 60), ("women", None, ["đỏ"], None, None, None, None), (None, 500_000, None, None, ([], None, ["đ"], "mid"), 165, 60)]
+    asked = ask(spark, *[(k, "office", *kinds[k % 3]) for k in range(30)])
+    alone = {(r["request_id"] % 3, r["place"]): r.asDict(True) | {"request_id": 0} for r in recommend.recommend(asked.where("request_id < 3"), items, edges).collect()}
+    seen, answers = [], recommend.answers
+    monkeypatch.setattr(recommend, "answers", lambda requests, *a: seen.append(requests.count()) or answers(requests, *a))
+    got = recommend.recommend(asked, items, edges).collect()
+    assert seen == [3] and {(r["request_id"] % 3, r["place"]) for r in got} == set(alone) and len(got) == 10 * len(alone)
+    assert all(r.asDict(True) | {"request_id": 0} == alone[r["request_id"] % 3, r["place"]] for r in got)

@@ -13,6 +13,7 @@ from weftline.operators import tags
 from weftline.operators.metrics import nearest_rank
 from weftline.operators.tags import formalities_for
 from weftline.sources.shared import written
+from weftline.sources.tables import dealt
 
 #: Outfits of a class that the first pass of a search looks at, and how many times more each next pass does.
 FIRST_LOOK, MORE = 256, 8
@@ -134,9 +135,20 @@ def recommend(requests: DataFrame, items: DataFrame, edges: DataFrame, top_n: in
 
     requests: request_id, occasion, gender, price_max, exclude_colors, style, quiz (struct of styles, occasions, colors,
     tier; null without a quiz), height, weight. items: the fields of tags, in_stock, sizes_in_stock, available_sizes.
-    Each seed's outfits are built once, and each rule searched once, whatever the number of requests that share it. Without a quiz the first top_k of
-    the search stay in its order. Gives request_id, place, retrieval_rank, preference, sizes (place 1) and the record.
+    Each seed's outfits are built once, each rule is searched once, and requests that say the same are answered once, whatever
+    their number. Without a quiz the first top_k of the search stay in its order. Gives request_id, place, retrieval_rank,
+    preference, sizes (place 1) and the record.
     """
+    said = requests.select("request_id", F.struct(*[c for c in requests.columns if c != "request_id"]).alias("_said"))
+    each = said.select("_said").distinct().withColumn("_one", F.monotonically_increasing_id())
+    each = written(dealt(each, "_one"), "said")
+    found = answers(each.select(F.col("_one").alias("request_id"), "_said.*"), items, edges, top_n, top_k)
+    found = written(each.join(found.withColumnRenamed("request_id", "_one").hint("shuffle_hash"), "_one").drop("_one"), "answers")
+    return said.join(found.hint("shuffle_hash"), "_said").drop("_said")
+
+
+def answers(requests: DataFrame, items: DataFrame, edges: DataFrame, top_n: int = 40, top_k: int = 5) -> DataFrame:
+    """recommend for requests that are answered one by one."""
     seeds_ = written(wanted_seeds(requests, items), "seeds")
     grown = assembly.assemble(seeds_.select("item_id", "category"), edges)
     slot = grown.select(F.monotonically_increasing_id().alias("row"), "seed", F.col("score").alias("mean"), "items")
