@@ -306,3 +306,24 @@ def test_edges_are_neither_added_up_nor_sorted(spark):
     assert sorted(found) == sorted({(min(a, b), max(a, b)) for a, bs in lists.items() for b in bs}) and any(int(x[1:]) % 3 == 2 for pair in found for x in pair)
     plan = graph.coherence_violations(items, edges)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin [src_id" not in plan
+
+
+def test_completions_read_only_edges_that_can_count(spark, tmp_path):
+    """Edges without an end in the category are left out before both directions are made; they are not sorted, and masked outfits are worked out once."""
+    from weftline.operators import recommend
+
+    rows = [("b", "t", "bottom", "top", 0.9), ("s", "t", "shoes", "top", 0.8), ("b", "s", "bottom", "shoes", 0.7), ("r", "t", "shoes", "top", 0.9), ("b", "r", "bottom", "shoes", 0.2), ("bag", "t", "bag", "top", 0.5)]
+    spark.createDataFrame(rows, "src_id string, dst_id string, src_category string, dst_category string, weight double").write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    pairs = lambda df: {(r["item_id"], r["partner_id"]) for r in df.collect()}
+    assert pairs(graph.directed(edges, ("top",), ("shoes",))) == {("t", "s"), ("t", "r")} and pairs(graph.directed(edges, to=("bag",))) == {("t", "bag")} and len(pairs(graph.directed(edges))) == 12
+    assert pairs(graph.best_partners(edges, "top", "shoes")) == {("t", "r")}
+    contexts = spark.createDataFrame([("t", ["t", "b"])], "key string, items array<string>")
+    found = graph.rank_completions(contexts, edges, "shoes", 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["place"], r["partner_id"]) for r in found.orderBy("place").collect()] == [(1, "s"), (2, "r")] and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    slot = "struct<item_id:string,category:string>"
+    outfits_ = spark.createDataFrame([("t", [("t", "top"), ("b", "bottom"), ("r", "shoes")]), ("x", [("x", "top"), ("b", "bottom")])], f"key string, items array<{slot}>")
+    seen = []
+    got = recommend.fitb_recall(outfits_, edges, lambda *a: seen.append(a[0]) or graph.rank_completions(*a), 1).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0.0)] and "FileScan parquet" in seen[0]._jdf.queryExecution().executedPlan().toString()

@@ -17,10 +17,10 @@ SEEDS = ("top", "dress")
 BASE = (*SEEDS, "bottom")
 
 
-def _links(edges: DataFrame, categories: tuple[str, ...]) -> DataFrame:
-    """directed edges of the items of some categories: item_id, partner_id, partner_category, weight and micro (weight in millionths)."""
+def _links(edges: DataFrame, categories: tuple[str, ...], to: tuple[str, ...] | None = None) -> DataFrame:
+    """directed edges of the items of some categories, to all or some: item_id, partner_id, partner_category, weight and micro (weight in millionths)."""
     micro = F.bround(F.col("weight") * 1_000_000).cast("bigint").alias("micro")
-    return directed(edges).where(F.col("category").isin(*categories)).select("item_id", "partner_id", "partner_category", "weight", micro)
+    return directed(edges, categories, to).select("item_id", "partner_id", "partner_category", "weight", micro)
 
 
 def ranked_partners(edges: DataFrame, categories: tuple[str, ...]) -> DataFrame:
@@ -44,7 +44,7 @@ def _extended(outfits: DataFrame, ranked: DataFrame, edges: DataFrame, category:
     others = F.filter("items", lambda x: x != F.col("seed"))
     member = tried.select(*keys, F.size(others).alias("n"), "cand", "cand_place", "own_link", F.explode(others).alias("member"))
     alone = tried.where(F.size(others) == 0).select(*keys, "cand", "cand_place", F.col("own_link").alias("gain"))
-    links = _links(edges, (*BASE, *OPTIONAL[: OPTIONAL.index(category)])).where(F.col("partner_category") == category)
+    links = _links(edges, (*BASE, *OPTIONAL[: OPTIONAL.index(category)]), (category,))
     links = links.select(F.col("item_id").alias("member"), F.col("partner_id").alias("cand"), F.col("micro").alias("link"))
     met = member.join(links.hint("merge"), ["member", "cand"]).groupBy(*keys, "cand", "cand_place").agg(F.count("link").alias("met"), (F.sum("link") + F.first("own_link")).alias("gain"), F.first("n").alias("n"))
     best = met.where("met = n").select(alone.columns).unionByName(alone).groupBy(*keys).agg(F.min_by(F.struct("cand", "gain"), "cand_place").alias("best"))

@@ -215,8 +215,8 @@ def fitb_recall(outfits: DataFrame, edges: DataFrame, completions, k: int = 5, m
     """
     hidden = F.get(F.filter("items", lambda x: x["category"] == masked), F.lit(0))
     rows = outfits.select("key", hidden["item_id"].alias("hidden"), F.transform(F.filter("items", lambda x: x["category"] != masked), lambda x: x["item_id"]).alias("items"))
-    rows = rows.where("hidden is not null and size(items) > 0")
+    rows = written(rows.where("hidden is not null and size(items) > 0"), "masked")  # they are read three times
     found = completions(rows.select("key", "items"), edges, masked, k)
-    hit = rows.join(found, (rows["key"] == found["key"]) & (rows["hidden"] == found["partner_id"]), "left_semi")
+    hit = rows.join(found.hint("shuffle_hash"), (rows["key"] == found["key"]) & (rows["hidden"] == found["partner_id"]), "left_semi")
     both = rows.agg(F.count("*").alias("eligible")).join(hit.agg(F.count("*").alias("hits")))
     return both.withColumn("recall", F.bround(F.coalesce(F.try_divide("hits", "eligible"), F.lit(0.0)), 6))
