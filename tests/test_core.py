@@ -327,3 +327,16 @@ def test_completions_read_only_edges_that_can_count(spark, tmp_path):
     seen = []
     got = recommend.fitb_recall(outfits_, edges, lambda *a: seen.append(a[0]) or graph.rank_completions(*a), 1).collect()
     assert [tuple(r) for r in got] == [(1, 0, 0.0)] and "FileScan parquet" in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_new_edges_are_not_added_up(spark):
+    """Edges of an incremental build are known from lists as those of a whole one, also where one end is no anchor."""
+    rows = [(f"i{n:03}", "top" if n % 2 else "bottom", "men", "casual", "red", 100 + n * n) for n in range(40)]
+    items = spark.createDataFrame(rows, "item_id string, category string, gender string, formality string, color string, price long")
+    fresh = items.where("item_id like '%5' or item_id like '%4'")
+    old = graph.build_edges(items.join(fresh, "item_id", "left_anti"), 3)
+    more = graph.extend_edges(items, old, 3)
+    assert "Aggregate" not in more._jdf.queryExecution().optimizedPlan().toString()
+    want = {tuple(r) for r in old.collect()} | {tuple(r) for r in graph.build_edges_with(pair_score, items, 3, fresh).collect()}
+    found = [tuple(r) for r in more.collect()]
+    assert len(found) == len(want) and set(found) == want
